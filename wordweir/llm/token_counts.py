@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 SPACE = "▁"
-CHUNK, MAX_STATES, MAX_PAIRS, FEW = 1 << 16, 60_000, 400_000, 8
+CHUNK, MAX_STATES, MAX_PAIRS, FEW = 1 << 16, 250_000, 400_000, 8
 
 
 class State(dict):

@@ -16,7 +16,7 @@ characters scores 0; without labelled urls of both kinds every score passes; rep
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -51,17 +51,22 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULE
     return rule, verdict
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trigrams(url: Column) -> Column:
     """Codes of each character with the two before it."""
     plain = F.translate(url, A_Z + "123456789", a_z + "0" * 9)
     chars = F.filter(F.split(plain, "", -1), lambda c: c != "")
     symbols = F.concat(F.array(F.lit(1), F.lit(1)), F.transform(chars, lambda c: F.instr(F.lit(SYMBOLS), c)))
-    at = lambda a, i: F.get(a, i)
-    codes = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(symbols) - 3), lambda i: (i >= 0) & (i < F.size(symbols) - 2)),
-        lambda i: at(symbols, i) * (K * K) + at(symbols, i + 1) * K + at(symbols, i + 2),
-    )
-    return F.when(url.isNotNull() & (F.length(url) > 0), codes).otherwise(F.array().cast("array<int>"))
+
+    def codes(s: Column) -> Column:
+        code = lambda i: F.get(s, i) * (K * K) + F.get(s, i + 1) * K + F.get(s, i + 2)
+        return F.transform(F.sequence(F.lit(0), F.size(s) - 3), code)
+
+    return F.when(url.isNotNull() & (F.length(url) > 0), once(symbols, codes)).otherwise(F.array().cast("array<int>"))
 
 
 def smoothed(counts: np.ndarray) -> np.ndarray:
@@ -98,8 +103,12 @@ def best_threshold(histogram: list[tuple[bool, int, int]]) -> float:
 def score(codes: Column, table: np.ndarray) -> Column:
     numbers = ",".join(f"{x:.4f}".rstrip("0").rstrip(".") for x in table.ravel().tolist())
     ratios = F.split(F.lit(numbers), ",").cast("array<double>")
-    total = F.aggregate(codes, F.lit(0.0), lambda s, c: s + F.get(ratios, c))
-    return F.when(F.size(codes) > 0, total / F.size(codes)).otherwise(0.0)
+
+    def mean(c: Column) -> Column:
+        total = F.aggregate(c, F.lit(0.0), lambda s, x: s + F.get(ratios, x))
+        return F.when(F.size(c) > 0, total / F.size(c)).otherwise(0.0)
+
+    return once(codes, mean)
 
 
 def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
