@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -27,12 +26,21 @@ from tokenizers import Tokenizer
 from .common import batches
 
 SEQUENCE, END_ID = 2048, 1
-#: The pattern of byte-level pre-tokenizers (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters whose classes have not changed in any Unicode version that the two libraries may follow:
-#: Latin, Greek, Cyrillic, general punctuation, the common ideographs and Hangul.
-PLAIN = re.compile("[\x00-ԧ‐-‧‰-⁞一-龥가-힣]*")
-HELD_PIECES, HELD_CHARS = 300_000, 48
+#: The pieces that byte-level pre-tokenizers cut (fixed value), as the standard library's expressions say it: the same
+#: for the characters of PLAIN, for which alone it is used.
+PATTERN = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Characters whose classes are the same in all Unicode versions and in both libraries' expressions: Latin (but the
+#: superscript digits and fractions), Greek, Cyrillic, general punctuation, the common ideographs and Hangul.
+PLAIN = re.compile("[\x00-\x1b\x20-±´-¸º»¿-ԧ‐-‧‰-⁞一-龥가-힣]*")
+#: Pieces held are at most twice so many: those met since the last turn, and those of the turn before.
+HELD_PIECES, HELD_CHARS = 500_000, 48
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that byte-level BPE writes for each byte: itself if it is visible Latin-1, else the next above 255."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173]
+    hidden = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 def lengths(n: int, full: int = SEQUENCE) -> list[int]:
@@ -43,20 +51,24 @@ def lengths(n: int, full: int = SEQUENCE) -> list[int]:
 
 
 class Ids(dict):
-    """Ids, as little-endian 32-bit numbers, of texts; of short pieces they are held, up to a bound."""
+    """Ids, as little-endian 32-bit numbers, of texts; those of short pieces are held, up to a bound."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters, self.before = self.tokenizer.model, byte_letters(), {}
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
-        self.find = regex.compile(PATTERN).findall
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.whole(piece)
+        ids = self.before.get(piece)
+        if ids is None:
+            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+            ids = b"".join([t.id.to_bytes(4, "little") for t in tokens])
         if len(piece) <= HELD_CHARS:
             if len(self) >= HELD_PIECES:
+                self.before = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -66,7 +78,7 @@ class Ids(dict):
             return b""
         if not PLAIN.fullmatch(text) or self.special.search(text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, self.find(text)))
+        return b"".join(map(self.__getitem__, PATTERN.findall(text)))
 
 
 _held: dict[str, Ids] = {}
