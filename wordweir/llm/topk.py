@@ -16,6 +16,8 @@ rows that repeat an id each take a rank, of query rows that do the one with the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -47,13 +49,25 @@ def statistics(v: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([mean * np.sqrt(parts.shape[2]), dev], 1)
 
 
-def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Row-wise inner products of integer vectors."""
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
-    if top < _SAFE:
-        return np.einsum("ij,ij->i", q.astype(np.float64), c.astype(np.float64)).astype(np.int64)
-    wide = (q.astype(object) * c.astype(object)).sum(1) if len(q) else np.zeros(0, object)
-    return np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in wide], np.int64)
+def _scorer(q: np.ndarray, c: np.ndarray) -> Callable:
+    """Exact scores of the pairs that a mask keeps, as (row of the mask, column, score)."""
+    safe = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(c.astype(np.float64)).max(initial=0)) * q.shape[1] < _SAFE
+    qf, cf = (q.astype(np.float64), c.astype(np.float64)) if safe else (q.astype(object), c.astype(object))
+
+    def scores(x: slice, a: slice, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        qi, ci = np.nonzero(keep)
+        if safe and len(qi) * 8 > keep.size:
+            return qi, ci, (qf[x] @ cf[a].T)[keep].astype(np.int64)
+        out = np.zeros(len(qi), np.int64)
+        for i in range(0, len(qi), 65536):
+            u, v = qf[x][qi[i : i + 65536]], cf[a][ci[i : i + 65536]]
+            if safe:
+                out[i : i + 65536] = np.einsum("ij,ij->i", u, v)
+            else:
+                out[i : i + 65536] = [min(max(s, -(1 << 63)), (1 << 63) - 1) for s in (u * v).sum(1)]
+        return qi, ci, out
+
+    return scores
 
 
 def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -61,35 +75,27 @@ def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: in
     order = np.argsort(cid, kind="stable")
     cid, c = cid[order], c[order]
     levels = [(statistics(q.astype(np.float64), s), statistics(c.astype(np.float64), s)) for s in resolutions(q.shape[1])]
-    slack = 1e-6 + 1e-9 * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
+    slack = 1e-6 + 1e-9 * float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(c.astype(np.float64)).max(initial=0)) * q.shape[1]
     best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in qid]
     floor = np.full(len(qid), -np.inf)
+    exact = _scorer(q, c)
     for a in range(0, len(cid), TILE):
         b = min(len(cid), a + TILE)
         for x in range(0, len(qid), TILE):
             y = min(len(qid), x + TILE)
-            qi = ci = None
-            for sq, sc in levels:
-                if qi is None:
-                    keep = sq[x:y] @ sc[a:b].T + slack >= floor[x:y, None]
-                    keep &= qid[x:y, None] != cid[None, a:b]
-                    qi, ci = np.nonzero(keep)
-                elif len(qi) * 8 > (y - x) * (b - a):
-                    bound = sq[x:y] @ sc[a:b].T
-                    keep = bound[qi, ci] + slack >= floor[x:y][qi]
-                    qi, ci = qi[keep], ci[keep]
-                else:
-                    keep = np.einsum("ij,ij->i", sq[x:y][qi], sc[a:b][ci]) + slack >= floor[x:y][qi]
-                    qi, ci = qi[keep], ci[keep]
-            if qi is None:
-                qi, ci = np.nonzero(qid[x:y, None] != cid[None, a:b])
-            score = np.concatenate([_exact(q[x:y][qi[i : i + 65536]], c[a:b][ci[i : i + 65536]]) for i in range(0, len(qi), 65536)] or [np.zeros(0, np.int64)])
+            keep = qid[x:y, None] != cid[None, a:b]
+            for sq, sc in levels if np.isfinite(floor[x:y]).any() else []:
+                keep &= sq[x:y] @ sc[a:b].T >= (floor[x:y] - slack)[:, None]
+            qi, ci, score = exact(slice(x, y), slice(a, b), keep)
+            good = score >= floor[x:y][qi]
+            qi, ci, score = qi[good], ci[good], score[good]
             edges = np.searchsorted(qi, np.arange(y - x + 1))
             for i in np.flatnonzero(np.diff(edges)).tolist():
                 lo, hi = edges[i], edges[i + 1]
                 s, d = np.append(best[x + i][0], score[lo:hi]), np.append(best[x + i][1], cid[a:b][ci[lo:hi]])
                 if len(s) > k:
-                    top = np.lexsort((d, -s.astype(np.float64) if np.abs(s).max() < _SAFE else [-int(z) for z in s]))[:k]
+                    # ~s orders as -s does, and has no overflow
+                    top = np.lexsort((d, ~s))[:k]
                     s, d = s[top], d[top]
                 best[x + i] = s, d
                 if len(s) == k:
