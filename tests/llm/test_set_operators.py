@@ -1,0 +1,355 @@
+"""Near-dedup, top-k, sharding, URL filters, WARC and the pipeline against brute force, and their defined cases."""
+
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from wordweir.llm import near_dedup, queries, sharding, topk, url_filter, warc
+from wordweir.llm.common import hash_words
+from wordweir.llm.queries import tokenizer_path
+
+from .test_text_operators import naive_hits, naive_lines, naive_pieces
+
+# near duplicates
+
+
+def multiset(text):
+    import re
+
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def naive_classes(rows):
+    """Smallest id of each row's class: weighted Jaccard of at least 0.8, closed transitively."""
+    sets = [multiset(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            same = sum((sets[i] & sets[j]).values())
+            alike = same * 10 >= 8 * sum((sets[i] | sets[j]).values()) if sets[i] and sets[j] else (rows[i][1] or "") == (rows[j][1] or "")
+            if alike:
+                up[find(i)] = find(j)
+    low = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        low[find(i)].append(d)
+    return [min((d for d in low[find(i)] if d is not None), default=None) for i in range(len(rows))]
+
+
+def near_rows(spark, sf):
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    rng = np.random.default_rng(1)
+    base = rows[5][1].split(" ")
+    chain = list(base)
+    for k in range(12):  # neighbours in the chain are alike, its ends are not
+        for _ in range(max(1, len(base) // 90)):
+            chain[rng.integers(len(chain))] = f"new{rng.integers(10**9)}"
+        rows.append((1000 + k, " ".join(chain)))
+    rows += [(2000, None), (2001, ""), (2002, "!!"), (2003, "a b"), (2004, "A, B"), (2005, "a c"), (2006, "??"), (7, rows[7][1]), (2007, "la " * 30_000), (2008, "la " * 29_000)]
+    return rows
+
+
+def test_classes_are_brute_force(spark, sf):
+    rows = near_rows(spark, sf)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = sorted((d, c) for (d, _), c in zip(rows, naive_classes(rows), strict=True))
+    assert sorted((r["doc_id"], r["class_id"]) for r in got) == want
+    sizes = Counter(c for _, c in want)
+    assert all(r["class_size"] == sizes[r["class_id"]] for r in got)
+    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id bigint, text string, node int, bands string")
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in want})
+
+
+def test_near_edges(spark):
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.drop_near_duplicates(empty).count() == 0
+    nulls = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, None), (3, "a b c d e f")], "doc_id bigint, text string")
+    assert sorted((r["doc_id"] or 0, r["class_id"] or 0, r["class_size"]) for r in near_dedup.near_duplicates(nulls).collect()) == [(0, 0, 1), (0, 3, 3), (0, 3, 3), (3, 3, 3)]
+
+
+def signature_of(sets, k, weights=None):
+    n = np.array([len(s) for s in sets])
+    regions = np.concatenate([np.array(s, np.uint64) for s in sets])
+    return near_dedup.signatures(regions, n, k, weights)
+
+
+def test_signatures_agree_as_often_as_weighted_jaccard_says():
+    rng = np.random.default_rng(2)
+    a, b, c = (rng.integers(1, 2**63, 300, dtype=np.uint64) for _ in range(3))
+    x, y = np.concatenate([a, b]), np.concatenate([b, c])
+    sig = signature_of([x, y, x[:5]], 4000)
+    assert abs((sig[0] == sig[1]).mean() - 1 / 3) < 0.04 and (sig != 0).all()
+    half = np.concatenate([np.full(600, 1.0), np.full(600, 0.5)])
+    sig = signature_of([x, x], 4000, half)
+    assert abs((sig[0] == sig[1]).mean() - 0.5) < 0.04
+    np.testing.assert_array_equal(signature_of([x], 64), signature_of([y, x], 64)[1:])
+
+
+def test_block_comparison_links_what_is_alike():
+    one = list(range(100))
+    rows = [(b"a", b"a", True, one), (b"a", b"a", False, one), (b"b", b"b", False, [*one[:95], 200]), (b"c", b"c", False, list(range(500, 600))), (b"d", b"d", False, one[:50])]
+    cell = pd.DataFrame([(n, r, m, np.array(v)) for n, r, m, v in rows], columns=["node", "root", "minor", "regions"])
+    assert near_dedup._compare_block(cell).values.tolist() == [[b"a", b"b"]]
+
+
+def test_components(spark):
+    rng = np.random.default_rng(3)
+    names = [bytes(x) for x in rng.integers(0, 256, (60, 16), dtype=np.uint8)]
+    links = [(names[i], names[i + 1]) for i in range(39)] + [(names[50], names[k]) for k in range(51, 60)]
+    got = {bytes(r["node"]): bytes(r["root"]) for r in near_dedup.classes(spark.createDataFrame(links, "a binary, b binary")).collect()}
+    assert {got[x] for x in names[:40]} == {min(names[:40])} and {got[x] for x in names[50:]} == {min(names[50:])} and len(got) == 50
+
+
+def test_words_are_hashed_alike_wherever_they_stand():
+    texts = [b"", b"Ab cd", b"cd", b"ab,CD  x", b"\xc3\xa9t\xc3\xa9"]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    starts = np.cumsum([0, *map(len, texts[:-1])])
+    h, n = hash_words(data, starts)
+    assert n.tolist() == [0, 2, 1, 3, 1] and h[0] == h[3] and h[1] == h[2] == h[4] and len(set(h.tolist())) == 4
+
+
+# top-k
+
+
+def naive_top(rows, k=20):
+    ok = [(i, np.floor(np.array(v, float) * 64).astype(int)) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, v in ok:
+        if q % 20 == 0:
+            best = sorted((-int(v @ w), i) for i, w in ok if i != q and len(w) == len(v))[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_topk_is_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(0, 0.2, 64).round(2 if i % 3 else 1).tolist()) for i in range(300)]
+    rows += [(300 + i, rows[i][1]) for i in range(60)]
+    rows += [(400, None), (420, [None, 1.0]), (440, [math.nan, 1.0]), (460, [math.inf]), (480, [1.0, 2.0]), (481, [1.0, -2.0]), (500, []), (501, []), (520, [3.0] * 64), (540, [0.5] * 6), (541, [-0.5] * 6)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.op3_topk(spark, str(tmp_path)).collect()
+    stored = [(r[0], r[1]) for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == naive_top(stored)
+
+
+def test_topk_over_many_blocks(spark, sf, tmp_path, monkeypatch):
+    for name, size in (("QUERY_BLOCK", 7), ("CANDIDATE_BLOCK", 60)):
+        monkeypatch.setattr(topk, name, size)
+    got = queries.op3_topk(spark, sf).collect()
+    stored = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == naive_top(stored)
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(5)
+    q, c = rng.integers(-99, 99, (20, 64)), rng.integers(-99, 99, (50, 64))
+    exact = q @ c.T
+    bounds = [topk.statistics(q.astype(float), s) @ topk.statistics(c.astype(float), s).T for s in topk.resolutions(64)]
+    assert len(bounds) == 3 and all((b >= exact - 1e-6).all() for b in bounds) and (bounds[0] >= bounds[2] - 1e-6).all()
+
+
+def test_topk_of_nothing(spark):
+    none = spark.createDataFrame([], "id bigint, v array<bigint>")
+    assert topk.top_k(none, none).count() == 0
+    one = spark.createDataFrame([(1, [5])], "id bigint, v array<bigint>")
+    assert topk.top_k(one, one).count() == 0
+
+
+# sharding
+
+
+def test_shards(spark, sf):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(None, None), (None, "x"), (5, None), (9, "same"), (9, "same")]
+    docs = spark.createDataFrame([(d, t, 1, 2, "c") for d, t in rows], "doc_id bigint, text string, shard int, slot int, bucket string")
+    got = sharding.shuffle_into_shards(docs, bucket_bytes=20_000).collect()
+    assert sorted(((r["record"]["doc_id"], r["record"]["text"]) for r in got), key=str) == sorted(rows, key=str)
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r)
+        assert r["grown_shard"] in (r["shard"], 8)
+    assert set(by) == set(range(8)) and max(r["bucket"] for r in got) > 0
+    for members in by.values():
+        members.sort(key=lambda r: r["slot"])
+        assert [r["slot"] for r in members] == list(range(len(members))) and [r["bucket"] for r in members] == sorted(r["bucket"] for r in members)
+        ids = [r["record"]["doc_id"] or 0 for r in members]
+        assert ids != sorted(ids)
+    again = sharding.shuffle_into_shards(docs.repartition(7), bucket_bytes=20_000).collect()
+    where = lambda rs: sorted((str(r["record"]["doc_id"]), str(r["record"]["text"]), r["shard"], r["slot"]) for r in rs if r["record"]["doc_id"] != 9)
+    assert where(again) == where(got)
+    grown = {(r["record"]["doc_id"], r["record"]["text"]): r["shard"] for r in sharding.shuffle_into_shards(docs, 9).collect()}
+    assert all(grown[r["record"]["doc_id"], r["record"]["text"]] == r["grown_shard"] for r in got)
+    assert sharding.shuffle_into_shards(docs.limit(0)).count() == 0
+
+
+def test_sharding_query(spark, sf, tmp_path):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op5_sharding(spark, sf).collect()
+    assert len(got) == len(texts)
+    assert all(r["size"] == len(texts[r["doc_id"]].encode()) + 1 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in got)
+    sharding.write_shards(sharding.shuffle_into_shards(spark.read.parquet(f"{sf}/documents.parquet")), f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == len(texts)
+
+
+# urls
+
+
+def naive_place(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    n = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
+    m = next((i for i, c in enumerate(rest) if c in "?#" and i >= n), len(rest))
+    return "".join(c.lower() if c.isascii() else c for c in rest[:n]), rest[n:m]
+
+
+def naive_rule(host, path):
+    fits = [(t, v) for t, v in url_filter.RULES if (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith("/" + t.split("/", 1)[1])]
+    return max(fits, key=lambda r: len(r[0]), default=(None, None))
+
+
+URLS = [
+    None, "", "no scheme/fr/", "http://EXAMPLE.Net/en/a?x#y", "http://x.net", "http://x.net?/en/", "http://a.example.net/EN/", "https://notexample.com/de/", "s://example.com/de/q",
+    "http://net/", "http://a.org/fr/x/y#z?", "http://a.org/fr", "://net/en", "http://É.net/\n/x", "http://a.b://c.net/", "http://x.com/" + "9é" * 5000,
+]
+
+
+def test_rules_are_brute_force(spark):
+    pages = spark.createDataFrame([(i, u, 1, "r") for i, u in enumerate([*URLS, *URLS])], "page_id bigint, url string, score int, rule string")
+    got = {r["page_id"]: r for r in url_filter.judge(pages).collect()}
+    assert len(got) == 2 * len(URLS)
+    for i, u in enumerate([*URLS, *URLS]):
+        host, path = naive_place(u)
+        rule, verdict = naive_rule(host, path)
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule) and verdict in (None, got[i]["verdict"])
+    assert url_filter.judge(pages.limit(0)).count() == 0
+    only = url_filter.judge(pages.where("url like '%.org/fr%'")).collect()
+    assert {r["verdict"] for r in only} == {"allow"}
+    with pytest.raises(ValueError):
+        url_filter.judge(pages, rules=[(f"{i}/", "block") for i in range(2000)])
+
+
+def test_models_are_brute_force(spark):
+    folder = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    rows = pages.select("page_id", "url", (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held")).collect()
+    grams = lambda u: ["".join(x) for x in zip("^^" + u, "^" + u, u, strict=False)]
+    plain = {r["page_id"]: "".join(("0" if c.isdigit() else c.lower()) if c.isascii() and c.isalnum() else c if c in "/.-^" else "?" for c in r["url"]) for r in rows}
+    counts = {"allow": Counter(), "block": Counter()}
+    labels = {r["page_id"]: naive_rule(*naive_place(r["url"]))[1] for r in rows}
+    for r in rows:
+        if labels[r["page_id"]] and not r["held"]:
+            counts[labels[r["page_id"]]].update(grams(plain[r["page_id"]]))
+
+    def probability(n, gram):
+        if gram == "":
+            return 1 / url_filter.K
+        after = Counter()
+        for g, k in n.items():
+            if g.endswith(gram[:-1], 0, 2):
+                after[g[2]] += k
+        below = probability(n, gram[1:])
+        total = sum(after.values())
+        return (after[gram[-1]] + len(after) * below) / (total + len(after)) if total else below
+
+    cache = {}
+
+    def ratio(g):
+        if g not in cache:
+            cache[g] = round(math.log(probability(counts["allow"], g)) - math.log(probability(counts["block"], g)), 4)
+        return cache[g]
+
+    scores = {p: sum(map(ratio, grams(u))) / len(u) for p, u in plain.items()}
+    got = {r["page_id"]: r for r in queries.op7_url_filter(spark, folder).collect()}
+    assert all(abs(got[p]["score"] - s) < 1e-3 for p, s in scores.items())
+    held = [(labels[r["page_id"]] == "allow", math.floor(got[r["page_id"]]["score"] * url_filter.BIN), 1) for r in rows if r["held"] and labels[r["page_id"]]]
+    least = url_filter.best_threshold(held)
+    assert all(r["verdict"] == (labels[p] or ("allow" if r["score"] >= least else "block")) for p, r in got.items())
+
+
+# WARC
+
+
+def test_warc_round_trip(spark, tmp_path):
+    rows = [(3, "http://a/\r\n%", "same É"), (1, None, "same É"), (2, "u", None), (5, "u", ""), (4, "v", "x" * 300_000), (None, "w", "same É"), (6, "v", "\x00\r\n\r\n"), (7, "z", "same É"), (1, "q", "same É")]
+    pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id bigint, url string, html string, digest string")
+    archives = warc.write_archives(pages.coalesce(1), archive_bytes=600)
+    assert archives.count() > 1
+    read = warc.read_archives(archives).collect()
+    assert len(read) == len(rows)
+    for r in read:
+        page = int(r["record_id"]) if r["record_id"] else None
+        mine = [x for x in rows if x[0] == page and x[1] == r["target"]]
+        body = (mine[0][2] or "").encode()
+        first = min(i for i, _, h in rows if i is not None and (h or "").encode() == body)
+        assert r["payload_bytes"] == len(body) and r["payload_digest"] == warc.sha1_base32(body)
+        if page in (None, first):
+            assert r["record_type"] == "response" and r["refers_to"] is None and bytes(r["payload"]) == body
+        else:
+            assert r["record_type"] == "revisit" and int(r["refers_to"]) == first and r["payload"] is None
+    warc.save_archives(archives, f"{tmp_path}/warc")
+    files = spark.read.format("binaryFile").load(f"{tmp_path}/warc").select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
+    assert sorted(map(str, warc.read_archives(files).collect())) == sorted(map(str, read))
+    import gzip
+
+    assert all(gzip.decompress(bytes(r["content"])).startswith(b"WARC/1.1\r\n") for r in files.collect())
+
+
+def test_damaged_archives_are_refused():
+    good = warc.record("1", "u", b"payload", None)
+    assert [warc.parse(m)["payload"] for m in warc.members(good + good)] == [b"payload"] * 2
+    with pytest.raises(warc.WarcError):
+        list(warc.members(good[:-9]))
+    raw = next(iter(warc.members(good)))
+    for bad in (raw.replace(b"payload\r", b"paylaod\r"), raw.replace(b"Content-Length: 7", b"Content-Length: 8"), raw[:-3], b"x" + raw):
+        with pytest.raises(warc.WarcError):
+            warc.parse(bad)
+
+
+def test_warc_of_nothing(spark):
+    assert warc.read_archives(warc.write_archives(spark.createDataFrame([], "page_id bigint, url string, html string"))).count() == 0
+
+
+# the pipeline
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark, sf):
+    import corpus_pipeline
+    from wordweir.llm import language_id
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    accepted = {r["doc_id"] for r in language_id.identify(docs).where("accepted").collect()}
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in accepted]
+    rows = [(d, kept) for d, _, _, kept in naive_lines(rows)]
+    rows = [(d, t) for (d, t), c in zip(rows, naive_classes(rows), strict=True) if d == c]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows = [(d, t) for d, t in rows if not naive_hits(t, items)[2]]
+    tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    want = sorted((d, *p) for d, t in rows for p in naive_pieces(tokenizer, t))
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((r["doc_id"], r["start"], r["length"], bytes(r["ids"]), r["doc_tokens"]) for r in got) == want
+
+
+def test_pipeline_stages_keep_the_columns(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    odd = docs.limit(2).withColumns({"text": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")})
+    docs = docs.unionByName(odd)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.dtypes == docs.dtypes
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    lined = corpus_pipeline.lines(spark, docs, sf)
+    assert lined.count() == docs.count() and lined.where(F.length("text") != F.col("n_chars")).count() == 0

@@ -105,10 +105,14 @@ def _automaton(key: str, items: Broadcast, size: int) -> ahocorasick.Automaton |
     return _built[key]
 
 
+def _send(docs: DataFrame, items: list[tuple[str, str]], size: int) -> tuple[Broadcast, str]:
+    key = hashlib.sha256(repr((size, items)).encode("utf-8", "replace")).hexdigest()
+    return docs.sparkSession.sparkContext.broadcast(items), key
+
+
 def _pass(docs: DataFrame, items: list[tuple[str, str]], size: int) -> DataFrame:
     """docs: columns id, text. One scan by one automaton."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-    key = hashlib.sha256(repr((size, items)).encode("utf-8", "replace")).hexdigest()
+    sent, key = _send(docs, items, size)
     id_type = docs.schema["id"].dataType
     schema = (
         f"id {id_type.simpleString()}, text_hash bigint, n_words bigint, "
@@ -178,6 +182,32 @@ def decontaminate(
     )
 
 
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, *, least: int = 1, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The documents in which windows of fewer than ``least`` items occur; columns as before.
+
+    Narrow: each block of the benchmark adds its number of items to the row itself, so no text is shuffled.
+    """
+    rows = docs.select(F.col(text_col).alias("text"), F.lit(0).cast("bigint").alias("n"), F.struct("*").alias("row"))
+    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        rows = rows.mapInArrow(_adder(docs, items, window), rows.schema)
+    return rows.where(F.col("n") < least).select("row.*")
+
+
+def _adder(docs: DataFrame, items: list[tuple[str, str]], size: int):  # noqa: ANN202
+    sent, key = _send(docs, items, size)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(key, sent, size)
+        for part in parts:
+            found = [n + len(scan(automaton, text.as_py())[2]) for text, n in zip(part.column(0), part.column(1).to_pylist(), strict=True)]
+            yield part.set_column(1, part.schema.field(1), pa.array(found, pa.int64()))
+
+    return run
+
+
 def _union(column: str, a: str, b: str, gap: int):
     """Sorted intervals with those that meet made one."""
     kind = f"array<struct<{a}:bigint,{b}:bigint>>"

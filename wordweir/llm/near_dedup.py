@@ -14,12 +14,13 @@ Nodes that share a band of the signature share a bucket. Each node is compared w
 that still hold several classes, nodes outside the class of the smallest are compared, in blocks of bounded size,
 with all nodes of other classes, so no link between bucket partners is lost; then the classes are contracted again.
 
-Defined cases: a null text, or one without words, is alone in its class; classes are named by their smallest
+Defined cases: a null text is an empty one; texts without words are in one class if they are equal; classes are named by their smallest
 document id (null ids: by the smallest other one, else null); repeated rows are copies.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,6 +139,14 @@ def word_keys(words: np.ndarray, counts: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in both]
 
 
+def node_keys(texts: pa.Array, words: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Node of each text: its word sequence, or, if it has no words, the text itself (null is empty)."""
+    keys = word_keys(words, counts)
+    for i in np.flatnonzero(counts == 0).tolist():
+        keys[i] = hashlib.blake2b((texts[i].as_py() or "").encode("utf-8", "replace"), digest_size=16).digest()
+    return pa.array(keys, pa.binary())
+
+
 def _sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         ids = part.column("id")
@@ -146,7 +155,7 @@ def _sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = bands(signatures(regions, n)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.slice(row, end - row), pa.array(word_keys(words, counts), pa.binary()), pa.array(n, pa.int64()),
+                    ids.slice(row, end - row), node_keys(part.column("text").slice(row, end - row), words, counts), pa.array(n, pa.int64()),
                     pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), BANDS).cast(pa.list_(pa.int64())),
                 ],
                 names=["id", "node", "n", "bands"],
@@ -155,11 +164,11 @@ def _sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _regions(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
-        for _, _, words, counts in row_words(part.column("text")):
+        for row, end, words, counts in row_words(part.column("text")):
             regions, n = shingles(words, counts)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(word_keys(words, counts), pa.binary()),
+                    node_keys(part.column("text").slice(row, end - row), words, counts),
                     pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(regions.view(np.int64))),
                 ],
                 names=["node", "regions"],
@@ -284,16 +293,12 @@ def near_duplicate_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, class_id (the smallest id of its class) and class_size."""
     rows, root = near_duplicate_nodes(docs, id_col, text_col)
-    wordless = F.when(F.col("n") == 0, F.col("id"))
-    per_node = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
+    per_node = rows.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
     rooted = cut(per_node.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
     named = rooted.groupBy("root").agg(F.min("low").alias("class_id"), F.sum("copies").alias("class_size"))
     named = cut(rooted.join(named, "root").select("node", "class_id", "class_size"))
-    out = rows.join(named, "node", "left")
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_id", wordless).alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"),
-    )
+    out = rows.join(named, "node")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "class_size")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

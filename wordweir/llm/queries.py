@@ -111,13 +111,14 @@ SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(n_hit,0) AS BIGINT)
        sha256(coalesce(items,'')) items_sha256, coalesce(n_items,0) >= 2 contaminated
 FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)""",
     "op2_near_dedup": rf"""
-WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text,'') txt, {_WORDS} w FROM documents),
 sh AS (SELECT doc_id, array_to_string(w[p:p+4],' ') g, len(w) k
        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w)-4,1)+1)) p FROM d WHERE len(w) > 0)),
 c AS (SELECT doc_id, g, count(*) n FROM sh GROUP BY doc_id, g, (CASE WHEN k < 5 THEN k END)),
 t AS (SELECT doc_id, sum(n) n FROM c GROUP BY doc_id),
 pairs AS (SELECT a.doc_id x, b.doc_id y, sum(least(a.n,b.n)) same FROM c a JOIN c b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-e AS (SELECT x, y FROM pairs JOIN t p ON p.doc_id = x JOIN t q ON q.doc_id = y WHERE same*10 >= (p.n+q.n-same)*8),
+e AS (SELECT x, y FROM pairs JOIN t p ON p.doc_id = x JOIN t q ON q.doc_id = y WHERE same*10 >= (p.n+q.n-same)*8
+      UNION SELECT a.doc_id, b.doc_id FROM d a JOIN d b ON a.txt = b.txt AND a.doc_id < b.doc_id WHERE len(a.w) = 0 AND len(b.w) = 0),
 u AS (SELECT x a, y b FROM e UNION ALL SELECT y, x FROM e),
 reach(doc_id, low) AS (SELECT doc_id, doc_id FROM d UNION SELECT u.b, reach.low FROM reach JOIN u ON u.a = reach.doc_id WHERE reach.low < u.b),
 cls AS (SELECT doc_id, min(low) class_id FROM reach GROUP BY doc_id)
