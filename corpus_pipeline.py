@@ -33,9 +33,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    leaked = found.where(F.col("n_items") >= LEAKED_ITEMS).select("doc_id").distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["doc_id"]), "left_anti")
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), least=LEAKED_ITEMS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
