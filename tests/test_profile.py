@@ -112,6 +112,20 @@ def test_offsets_over_many_ranges(spark, monkeypatch):
         at += len(t) + 1
 
 
+@pytest.mark.parametrize("by", [[], ["lang"]])
+def test_late_offsets_give_the_same_profile(spark, sf, monkeypatch, by):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(3)
+    rows = lambda: sorted(map(str, profile.profile(docs, by=by).collect()))
+    soon = rows()
+    monkeypatch.setattr(offsets, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(offsets, "RANGE_ROWS", 50)
+    assert rows() == soon
+    talk = spark.read.parquet(f"{sf}/conversations.parquet")
+    late = as_dict(profile.profile(talk, ("conv_id", "turn")))
+    monkeypatch.setattr(offsets, "BROADCAST_ROWS", 10**6)
+    assert late == as_dict(profile.profile(talk, ("conv_id", "turn")))
+
+
 @pytest.mark.parametrize("size", [1, 7, 64, 10_000])
 def test_segments_merge_to_the_whole(spark, size):
     docs = docs_of(spark, F1)

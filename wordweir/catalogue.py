@@ -81,6 +81,15 @@ def segment_stats(spark: SparkSession, folder: str) -> DataFrame:
     return P.segment_statistics(_segments(spark, folder))
 
 
+def segment_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """First and last byte of each segment, and the size of its profile."""
+    docs = read(spark, folder, "documents")
+    total = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    start = F.col("segment_id") * SEGMENT_BYTES
+    end = F.least(start + SEGMENT_BYTES, F.lit(total)) - 1
+    return segment_stats(spark, folder).select("segment_id", start.alias("start"), end.alias("end"), F.col("profile_bytes").alias("size"))
+
+
 def merge_two(spark: SparkSession, folder: str) -> DataFrame:
     s = _segments(spark, folder).select("segment_id", *P.SMALL)
     return P.merge(s.where("segment_id = 0"), s.where("segment_id = 1"))
@@ -139,7 +148,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         word_scan, word_profile, singular_words, repeated_words, find_first, find_first_none, find_top_n, singular_list, word_count,
-        first_occurrence, segment_profile, segment_stats, merge_two, merge_all, merge_full_outer, profile_bytes, memory_size_parse,
+        first_occurrence, segment_profile, segment_stats, segment_manifest, merge_two, merge_all, merge_full_outer, profile_bytes, memory_size_parse,
         merge_plan_dp, merge_plan_simple, incremental_count, find_first_by_lang, top_n_by_lang,
     )
 } | {"prefix_key": prefix_keys} | {f"first_words_{t}": _first_of(t) for t in TEXTS if t != "documents"}
@@ -177,6 +186,8 @@ ORACLE_SQL: dict[str, str] = {
     "first_occurrence": f"{_W} SELECT word, first_off FROM p",
     "segment_profile": f"{_W} SELECT * FROM seg",
     "segment_stats": f"{_W} SELECT segment_id, count(*) words, CAST(sum({_SIZE}) AS BIGINT) profile_bytes FROM seg GROUP BY 1",
+    "segment_manifest": f"""{_W} SELECT segment_id, segment_id * {SEGMENT_BYTES} AS start, least((segment_id + 1) * {SEGMENT_BYTES}, total) - 1 AS "end", size
+FROM (SELECT segment_id, CAST(sum({_SIZE}) AS BIGINT) size FROM seg GROUP BY 1), (SELECT CAST(sum(strlen(text) + 1) AS BIGINT) total FROM documents)""",
     "merge_two": f"{_W} {_TWO}",
     "merge_full_outer": f"{_W} {_TWO}",
     "merge_all": f"{_W} SELECT word, repeated, occur FROM p",

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import record_size
-from .scan import partial_counts
+from . import offsets
+from .scan import partial_counts, partial_places
 
 SMALL = ("word", "repeated", "occur")
 
@@ -21,14 +22,28 @@ SMALL = ("word", "repeated", "occur")
 def finish(partials: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Final step of the two-phase aggregation of (by, word, n, first_off) rows."""
     totals = partials.groupBy(*by, "word").agg(F.sum("n").alias("n"), F.min("first_off").alias("first_off"))
-    return totals.select(
-        *by, "word", "n", "first_off", (F.col("n") > 1).alias("repeated"), F.when(F.col("n") == 1, F.col("first_off")).alias("occur")
-    )
+    return _flagged(totals, by)
+
+
+def _flagged(totals: DataFrame, by: Sequence[str]) -> DataFrame:
+    once = F.col("n") == 1
+    return totals.select(*by, "word", "n", "first_off", (~once).alias("repeated"), F.when(once, F.col("first_off")).alias("occur"))
 
 
 def profile(docs: DataFrame, key: Sequence[str] = ("doc_id",), text: str = "text", by: Sequence[str] = ()) -> DataFrame:
-    """The profile of a table; with ``by``, one profile for each value of these columns."""
-    return finish(partial_counts(docs, key, text, by), by)
+    """The profile of a table; with ``by``, one profile for each value of these columns.
+
+    Neither way shuffles a text. Where the texts' offsets are few enough they are broadcast to the scan; beyond
+    that words are aggregated by place (key, local offset), and the offsets are joined to the distinct words.
+    """
+    rows = docs.count()
+    if rows <= offsets.BROADCAST_ROWS:
+        return finish(partial_counts(docs, key, text, by), by)
+    totals = partial_places(docs, key, text, by).groupBy(*by, "word").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    totals = totals.select(*by, "word", "n", F.col("first.local").alias("local"), *(F.col(f"first.{c}").alias(f"key_{c}") for c in key))
+    bases = offsets.base_offsets(docs, key, text, rows).select("base", *(F.col(c).alias(f"key_{c}") for c in key))
+    placed = totals.join(bases, [f"key_{c}" for c in key])
+    return _flagged(placed.select(*by, "word", "n", (F.col("base") + F.col("local")).alias("first_off")), by)
 
 
 def profile_words(words: DataFrame) -> DataFrame:

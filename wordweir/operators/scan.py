@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,6 +111,33 @@ def partial_counts(
     return rows.mapInArrow(run, f"word string{_kinds(docs, extra)}{segment}, n bigint, first_off bigint")
 
 
+def partial_places(docs: DataFrame, key: Sequence[str] = ("doc_id",), text: str = "text", extra: Sequence[str] = ()) -> DataFrame:
+    """(word, n, first) and the ``extra`` columns, combined within each batch; first: (key columns, local offset in the text).
+
+    Places order as offsets in the virtual file do, and need no offsets of texts.
+    """
+    by = ["word", *extra]
+    kinds = ", ".join(f"{c}:{docs.schema[c].dataType.simpleString()}" for c in key)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            order = pc.sort_indices(pa.table({c: part.column(f"key_{c}") for c in key}), [(c, "ascending") for c in key]).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            for owner, word, off in scan_batch(part.column("text"), np.zeros(part.num_rows, np.int64), pa.string()):
+                columns = {"word": word, "place": pa.array((rank[owner] << 32) + off), **{c: part.column(c).take(pa.array(owner)) for c in extra}}
+                found = pa.table(columns).group_by(by).aggregate([("place", "count"), ("place", "min")]).combine_chunks()
+                place = found.column("place_min").to_numpy()
+                rows = pa.array(order[place >> 32].astype(np.int64))
+                fields = [part.column(f"key_{c}").take(rows) for c in key] + [pa.array(place & 0xFFFFFFFF)]
+                first = pa.StructArray.from_arrays(fields, names=[*key, "local"])
+                arrays = [*(found.column(c).combine_chunks() for c in by), found.column("place_count").combine_chunks(), first]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*by, "n", "first"])
+
+    rows = docs.select(*(F.col(c).alias(f"key_{c}") for c in key), F.col(text).alias("text"), *extra)
+    return rows.mapInArrow(run, f"word string{_kinds(docs, extra)}, n bigint, first struct<{kinds},local:bigint>")
+
+
 def words_by_window(docs: DataFrame, key: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """The same rows as ``words`` from built-in functions only; it shuffles and sorts every word. For comparison."""
     rows = with_base(docs, key, text)
