@@ -236,3 +236,25 @@ def test_query_digests(spark, sf):
     assert [(r["start"], r["length"], r["ids_crc32"]) for r in got] == [(s, n, zlib.crc32(b)) for s, n, b, _ in want]
     clean = queries.op1_decontaminate(spark, sf).where("n_items = 0").first()
     assert clean["items_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_long_texts_are_packed_in_parts(monkeypatch, texts):
+    monkeypatch.setattr(packing, "PART_CHARS", 7)
+    ids = packing.Ids(tokenizer_path("byte_bpe_50k.json"))
+    for t in [*list(texts.values())[:20], "a b  c\n d 'll x's  9 y", "no-space" * 50, "   ", " a " * 9]:
+        assert ids.of(t) == ids.whole(t)
+
+
+def test_language_in_parts(monkeypatch):
+    rng = np.random.default_rng(0)
+    model = language_id.Model(["a", "b"], rng.normal(size=(language_id.BUCKETS, 2)), np.zeros(2), 1.0, 0.0)
+    many = pa.array(["abc def é" * k for k in (1, 0, 30, 2, 90)], pa.string())
+    whole = language_id.predict(model, many)[1]
+    monkeypatch.setattr(language_id, "SLICE_BYTES", 3)
+    np.testing.assert_allclose(language_id.predict(model, many)[1], whole)
+
+
+def test_many_lines_take_linear_time(spark):
+    rows = [(i, "\n".join(f"line {j} of a text of very many lines, that all hold" for j in range(20_000))) for i in range(5)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["n_lines"], r["n_dropped"]) for r in got) == [(20_000, 0)] + [(20_000, 20_000)] * 4

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of bytes that are a digit, a letter a-z or above 0x7F, after A-Z are lower-cased.
 #: The table maps a byte to its lower-cased self, or to a space if it parts words.
@@ -43,6 +44,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value computed once however often it is used (also inside a lambda)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> U(30))

@@ -12,6 +12,7 @@ an empty benchmark hits nothing; other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,6 +27,7 @@ WINDOW = 8
 #: Bytes of item texts in one automaton. A larger benchmark is scanned in as many passes as it has blocks.
 BLOCK_BYTES = 32 << 20
 
+_GAPS = re.compile(b"  +")
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 _RANGE = pa.struct([("first", pa.int64()), ("last", pa.int64())])
 
@@ -56,10 +58,13 @@ def build(items: list[tuple[str, str]], size: int = WINDOW) -> ahocorasick.Autom
 
 def scan(automaton: ahocorasick.Automaton | None, text: str | None) -> tuple[int, list[tuple[int, int]], list[str]]:
     """Number of words, merged ranges of hit words (both ends included), sorted ids of the items that occur."""
-    w = words(text)
-    if not w or automaton is None:
-        return len(w), [], []
-    line = (b" " + b" ".join(w) + b" ").decode("latin-1")
+    if not text:
+        return 0, [], []
+    # runs of parting bytes become one space each; no list of words is made
+    line = (b" " + _GAPS.sub(b" ", text.encode("utf-8", "replace").translate(WORD_BYTES)).strip(b" ") + b" ").decode("latin-1")
+    n_words = line.count(" ") - 1 if len(line) > 2 else 0
+    if not n_words or automaton is None:
+        return n_words, [], []
     ranges, ids, seen, spaces = [], set(), 0, 0
     for end, (n, items) in automaton.iter(line):
         spaces += line.count(" ", seen, end)
@@ -72,7 +77,7 @@ def scan(automaton: ahocorasick.Automaton | None, text: str | None) -> tuple[int
             merged[-1] = (merged[-1][0], max(merged[-1][1], last))
         else:
             merged.append((first, last))
-    return len(w), merged, sorted(ids)
+    return n_words, merged, sorted(ids)
 
 
 def spans(text: str, ranges: list[tuple[int, int]]) -> list[dict]:

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import SLICE_BYTES, text_slices
 
 BUCKETS, DIM = 1 << 16, 16
 PER_LANG, SPAN, MAX_LANGS = 1000, 1500, 256
@@ -154,21 +154,25 @@ def predict(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarra
     table = np.ascontiguousarray(model.table.T.astype(np.float64))
     for row, end, data, off in text_slices(column):
         n = end - row
-        starts = off[:-1] + 4 * np.arange(n)
-        padded = np.full(len(data) + 4 * n, 32, np.uint8)
-        owner = np.repeat(np.arange(n), np.diff(off))
-        padded[np.arange(len(data)) + 4 * owner + 2] = data
         total, seen = np.zeros((n, len(model.langs))), np.zeros(n)
+        # two spaces before and after each text
+        padded = np.full(len(data) + 4 * n, 32, np.uint8)
+        for i in range(n):
+            padded[off[i] + 4 * i + 2 : off[i + 1] + 4 * i + 2] = data[off[i] : off[i + 1]]
+        starts = off + 4 * np.arange(n + 1)
         for size in _SPACES:
-            bucket, real = subwords(padded, size)
-            # runs that would cross into the next text begin in its last size - 1 bytes
-            last = np.append(starts[1:], len(padded))
-            for gap in range(1, size):
-                cross = last - gap
-                real[cross[cross < len(real)]] = False
-            seen += np.add.reduceat(np.append(real, np.zeros(size, bool)).astype(np.int64), starts)
-            for y in range(len(model.langs)):
-                total[:, y] += np.add.reduceat(np.append(np.where(real, table[y][bucket], 0.0), np.zeros(size)), starts)
+            for at in range(0, len(padded) - size + 1, 4 * SLICE_BYTES):
+                # runs that start here; of a text longer than that, the parts are summed
+                bucket, real = subwords(padded[at : at + 4 * SLICE_BYTES + size - 1], size)
+                for gap in range(1, size):  # runs that would go on into the next text
+                    cross = starts[1:] - gap - at
+                    real[cross[(cross >= 0) & (cross < len(real))]] = False
+                first = int(np.searchsorted(starts, at, "right")) - 1
+                last = int(np.searchsorted(starts, at + len(real), "left"))
+                begins = np.maximum(starts[first:last] - at, 0)
+                seen[first:last] += np.add.reduceat(real.astype(np.int64), begins)
+                for y in range(len(model.langs)):
+                    total[first:last, y] += np.add.reduceat(np.where(real, table[y][bucket], 0.0), begins)
         scores = model.scores(total / np.maximum(seen, 1)[:, None] + model.bias)
         top = scores.argmax(1)
         for i in range(n):

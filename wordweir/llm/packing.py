@@ -34,6 +34,8 @@ PATTERN = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\
 PLAIN = re.compile("[\x00-\x1b\x20-±´-¸º»¿-ԧ‐-‧‰-⁞一-龥가-힣]*")
 #: Pieces held are at most twice so many: those met since the last turn, and those of the turn before.
 HELD_PIECES, HELD_CHARS = 500_000, 48
+#: Longer texts are cut, at places where a piece ends anyway, so that not all their pieces are in memory.
+PART_CHARS, CUT = 1 << 20, re.compile(r"\S (?=[^\W\d_])")
 
 
 def byte_letters() -> dict[int, str]:
@@ -78,7 +80,16 @@ class Ids(dict):
             return b""
         if not PLAIN.fullmatch(text) or self.special.search(text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, PATTERN.findall(text)))
+        if len(text) <= PART_CHARS:
+            return b"".join(map(self.__getitem__, PATTERN.findall(text)))
+        parts, at = [], 0
+        while at < len(text):
+            # no piece goes over a space that stands between other characters and a letter
+            to = CUT.search(text, at + PART_CHARS)
+            end = to.start() + 1 if to else len(text)
+            parts.append(b"".join(map(self.__getitem__, PATTERN.findall(text, at, end))))
+            at = end
+        return b"".join(parts)
 
 
 _held: dict[str, Ids] = {}

@@ -16,13 +16,13 @@ characters scores 0; without labelled urls of both kinds every score passes; rep
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import A_Z, a_z
+from .common import A_Z, a_z, once
 
 #: Symbols: 0 any other character, 1 the place before the url, then these; digits count as 0.
 SYMBOLS = "^" + a_z + "0/.-"
@@ -51,11 +51,6 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULE
     return rule, verdict
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), the value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def trigrams(url: Column) -> Column:
     """Codes of each character with the two before it."""
     plain = F.translate(url, A_Z + "123456789", a_z + "0" * 9)
