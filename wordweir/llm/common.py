@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -49,6 +52,38 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+_held: dict[str, tuple[object, object]] = {}
+
+
+def held(kind: str, key: object, build: Callable[[], object]) -> object:
+    """What a Python worker builds once and keeps for its later tasks: one thing at a time, so that stages do not add up."""
+    if kind not in _held or _held[kind][0] != key:
+        _held.clear()
+        release()
+        _held[kind] = key, build()
+    return _held[kind][1]
+
+
+def release() -> None:
+    """Give memory that is free back to the system (best effort: workers live long and share an executor's bound)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
+def released(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The step of a mapInArrow, with ``release`` after each partition."""
+
+    def run(parts: Iterator) -> Iterator:
+        yield from step(parts)
+        release()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> U(30))

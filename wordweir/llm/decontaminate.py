@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, to_batch
+from .common import WORD_BYTES, held, to_batch
 
 WINDOW = 8
 #: Bytes of item texts in one automaton. A larger benchmark is scanned in as many passes as it has blocks.
@@ -99,17 +99,6 @@ def spans(text: str, ranges: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-_built: dict[str, ahocorasick.Automaton | None] = {}
-
-
-def _automaton(key: str, items: Broadcast, size: int) -> ahocorasick.Automaton | None:
-    """One build for each Python worker, not for each task."""
-    if key not in _built:
-        _built.clear()
-        _built[key] = build(items.value, size)
-    return _built[key]
-
-
 def _send(docs: DataFrame, items: list[tuple[str, str]], size: int) -> tuple[Broadcast, str]:
     key = hashlib.sha256(repr((size, items)).encode("utf-8", "replace")).hexdigest()
     return docs.sparkSession.sparkContext.broadcast(items), key
@@ -125,7 +114,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], size: int) -> DataFrame
     )
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(key, sent, size)
+        automaton = held("automaton", key, lambda: build(sent.value, size))
         for part in parts:
             out = pa.schema(
                 [
@@ -205,7 +194,7 @@ def _adder(docs: DataFrame, items: list[tuple[str, str]], size: int):  # noqa: A
     sent, key = _send(docs, items, size)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(key, sent, size)
+        automaton = held("automaton", key, lambda: build(sent.value, size))
         for part in parts:
             found = [n + len(scan(automaton, text.as_py())[2]) for text, n in zip(part.column(0), part.column(1).to_pylist(), strict=True)]
             yield part.set_column(1, part.schema.field(1), pa.array(found, pa.int64()))

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, text_slices
+from .common import SLICE_BYTES, released, text_slices
 
 BUCKETS, DIM = 1 << 16, 16
 PER_LANG, SPAN, MAX_LANGS = 1000, 1500, 256
@@ -197,7 +197,7 @@ def identify(
             langs, best = predict(sent.value, part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(langs, pa.string()), pa.array(best)], names=["id", "lang_pred", "score"])
 
-    found = rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+    found = rows.mapInArrow(released(run), f"id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
     accepted = (F.col("lang_pred") != UND) & (F.col("score") >= least)
     return found.select(F.col("id").alias(id_col), "lang_pred", "score", accepted.alias("accepted"))
 
@@ -214,4 +214,4 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             langs, best = predict(sent.value, part.column(at))
             yield part.filter(pa.array([lang != UND and s >= least for lang, s in zip(langs, best, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import batches
+from .common import batches, held, released
 
 SEQUENCE, END_ID = 2048, 1
 #: The pieces that byte-level pre-tokenizers cut (fixed value), as the standard library's expressions say it: the same
@@ -33,7 +33,7 @@ PATTERN = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\
 #: superscript digits and fractions), Greek, Cyrillic, general punctuation, the common ideographs and Hangul.
 PLAIN = re.compile("[\x00-\x1b\x20-±´-¸º»¿-ԧ‐-‧‰-⁞一-龥가-힣]*")
 #: Pieces held are at most twice so many: those met since the last turn, and those of the turn before.
-HELD_PIECES, HELD_CHARS = 500_000, 48
+HELD_PIECES, HELD_CHARS = 300_000, 48
 #: Longer texts are cut, at places where a piece ends anyway, so that not all their pieces are in memory.
 PART_CHARS, CUT = 1 << 20, re.compile(r"\S (?=[^\W\d_])")
 
@@ -92,15 +92,6 @@ class Ids(dict):
         return b"".join(parts)
 
 
-_held: dict[str, Ids] = {}
-
-
-def ids_of(path: str) -> Ids:
-    if path not in _held:
-        _held[path] = Ids(path)
-    return _held[path]
-
-
 def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", full: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Per piece: id, start, length, ids (packed little-endian 32-bit), doc_tokens, bucket, sequence_id, offset.
 
@@ -111,7 +102,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     end = np.array([end_id], "<u4").tobytes()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ids_of(tokenizer)
+        ids = held("ids", tokenizer, lambda: Ids(tokenizer))
 
         def rows(part: pa.RecordBatch) -> Iterator[tuple]:
             for doc, text in zip(part.column(0), part.column(1), strict=True):
@@ -132,7 +123,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
 
     kind = docs.schema[id_col].dataType.simpleString()
     pieces = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, bucket int"
+        released(run), f"id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, bucket int"
     )
     return pieces.select(
         F.col("id").alias(id_col), "start", "length", "ids", "doc_tokens", "bucket",

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from .common import held
+
 SPACE = "▁"
 CHUNK, MAX_STATES, MAX_PAIRS, FEW = 1 << 16, 250_000, 400_000, 8
 
@@ -198,21 +200,12 @@ class Machine:
         return self.start_tokens + maps[0](self.start)[1]
 
 
-_held: dict[str, Machine] = {}
-
-
-def machine_of(path: str) -> Machine:
-    if path not in _held:
-        _held[path] = Machine(path)
-    return _held[path]
-
-
 def count_tokens(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_bytes (UTF-8), n_tokens. ``model`` is the path of a model file on every executor."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run_all(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = machine_of(model)
+        machine = held("machine", model, lambda: Machine(model))
         for part in parts:
             counts = [machine.count(text.as_py()) for text in part.column(2)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
