@@ -182,21 +182,21 @@ def classes(links: DataFrame) -> DataFrame:
     and the edges between moved nodes shrink geometrically. Each round is cut, and its number of edges counted.
     """
     edges = cut(links.where("a != b").distinct())
-    label, moves = None, 0
+    label = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
+        up = cut(up)
         if label is None:
             label = up.withColumnRenamed("up", "root")
         else:
             moved = up.select(F.col("node").alias("root"), "up")
             label = label.join(moved, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-        moves += 1
-        label = cut(label) if moves % 6 == 0 else label
+        label = cut(label)
         left, right = (up.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up")) for c in "ab")
         moved = edges.join(left, "a").join(right, "b").select(F.col("a_up").alias("a"), F.col("b_up").alias("b"))
         edges = cut(moved.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if label is None else cut(label)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if label is None else label
 
 
 def _alike(same, n, m):
@@ -267,7 +267,7 @@ def near_duplicate_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     root = classes(links)
 
     # buckets of three or more in which several classes are left
-    known = members.where("size > 2").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = cut(members.where("size > 2").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
     lead = known.where("node = lead").select("band", "hash", F.col("root").alias("lead_root"))
     split = (
         known.groupBy("band", "hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
@@ -279,7 +279,7 @@ def near_duplicate_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     blocks = left_over.groupBy("band", "hash").agg(
         F.ceil(F.sum(F.col("is_minor").cast("int")) / MINOR_BLOCK).cast("int").alias("minors"), F.ceil(F.count("*") / ALL_BLOCK).cast("int").alias("alls")
     )
-    dealt = left_over.join(blocks, ["band", "hash"]).select("band", "hash", "node", "root", "is_minor", "minors", "alls")
+    dealt = left_over.join(cut(blocks), ["band", "hash"]).select("band", "hash", "node", "root", "is_minor", "minors", "alls")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n)).cast("int")
     cell = ["band", "hash", "i", "j"]
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per_node = rows.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
     rooted = cut(per_node.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
     named = rooted.groupBy("root").agg(F.min("low").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = rooted.join(named, "root").select("node", "class_id", "class_size")
+    named = cut(rooted.join(named, "root").select("node", "class_id", "class_size"))
     out = rows.join(named, "node")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "class_size")
 
