@@ -39,6 +39,7 @@ COORDINATES = BANDS * ROWS
 LINK = (8, 10)
 #: Nodes on either side of a block in the second comparison.
 MINOR_BLOCK, ALL_BLOCK = 64, 192
+LINKS_A_TASK = 100_000
 
 _STEP = U(0x9E3779B97F4A7C15)
 
@@ -183,19 +184,21 @@ def classes(links: DataFrame) -> DataFrame:
     """
     edges = cut(links.where("a != b").distinct())
     label = None
-    while not edges.isEmpty():
+    while count := edges.count():
+        few = max(1, -(-count // LINKS_A_TASK))  # tasks, in proportion to the links
+        edges = edges.coalesce(few)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
-        up = cut(up)
+        up = cut(up.coalesce(few))
         if label is None:
-            label = up.withColumnRenamed("up", "root")
+            label, first = up.withColumnRenamed("up", "root"), few
         else:
             moved = up.select(F.col("node").alias("root"), "up")
             label = label.join(moved, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-        label = cut(label)
+        label = cut(label.coalesce(max(few, first)))
         left, right = (up.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up")) for c in "ab")
         moved = edges.join(left, "a").join(right, "b").select(F.col("a_up").alias("a"), F.col("b_up").alias("b"))
-        edges = cut(moved.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        edges = cut(moved.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().coalesce(few))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if label is None else label
 
 
