@@ -242,17 +242,19 @@ def near_duplicate_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     nodes = (
         sketch.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     )
-    held = cut(nodes.select("node", "id", "n", F.posexplode("bands").alias("band", "hash")))
-    buckets = held.groupBy("band", "hash").agg(
+    # cut before they are exploded: a row for each band would be twenty times as many
+    nodes = cut(nodes)
+    held = nodes.select("node", "id", "n", F.explode("bands").alias("hash"))
+    buckets = held.groupBy("hash").agg(
         F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("lead"),
-        F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"),
+        *(F.bit_xor(F.xxhash64("node", F.lit(s))).alias(f"xor{s}") for s in (1, 2)),
     ).where("size > 1")
     # buckets of the same nodes are one
     buckets = cut(
-        buckets.groupBy("size", "sum", "xor").agg(F.min(F.struct("band", "hash", "lead")).alias("one"))
-        .select("one.band", "one.hash", "size", F.col("one.lead.node").alias("lead"), F.col("one.lead.n").alias("lead_n"))
+        buckets.groupBy("size", "xor1", "xor2").agg(F.min(F.struct("hash", "lead")).alias("one"))
+        .select("one.hash", "size", F.col("one.lead.node").alias("lead"), F.col("one.lead.n").alias("lead_n"))
     )
-    members = cut(held.join(buckets, ["band", "hash"]))
+    members = cut(held.join(buckets, "hash"))
 
     wanted = members.groupBy("node").agg(F.first("id").alias("id")).select("node", "id")
     ids = wanted.select(F.col("id").alias("wanted")).distinct()
@@ -271,21 +273,21 @@ def near_duplicate_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     # buckets of three or more in which several classes are left
     known = cut(members.where("size > 2").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    lead = known.where("node = lead").select("band", "hash", F.col("root").alias("lead_root"))
+    lead = known.where("node = lead").select("hash", F.col("root").alias("lead_root"))
     split = (
-        known.groupBy("band", "hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-        .join(lead, ["band", "hash"]).select("band", "hash", "lead_root")
+        known.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+        .join(lead, "hash").select("hash", "lead_root")
     )
-    left_over = cut(known.join(split, ["band", "hash"]).withColumn("is_minor", F.col("root") != F.col("lead_root")))
+    left_over = cut(known.join(split, "hash").withColumn("is_minor", F.col("root") != F.col("lead_root")))
     if left_over.isEmpty():
         return sketch.select("id", "node", "n"), root
-    blocks = left_over.groupBy("band", "hash").agg(
+    blocks = left_over.groupBy("hash").agg(
         F.ceil(F.sum(F.col("is_minor").cast("int")) / MINOR_BLOCK).cast("int").alias("minors"), F.ceil(F.count("*") / ALL_BLOCK).cast("int").alias("alls")
     )
-    dealt = left_over.join(cut(blocks), ["band", "hash"]).select("band", "hash", "node", "root", "is_minor", "minors", "alls")
+    dealt = left_over.join(cut(blocks), "hash").select("hash", "node", "root", "is_minor", "minors", "alls")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n)).cast("int")
-    cell = ["band", "hash", "i", "j"]
+    cell = ["hash", "i", "j"]
     minor = dealt.where("is_minor").withColumns({"i": own("minors"), "minor": F.lit(True)}).withColumn("j", F.explode(upto("alls")))
     every = dealt.withColumns({"j": own("alls"), "minor": F.lit(False)}).withColumn("i", F.explode(upto("minors")))
     cells = minor.select(*cell, "node", "root", "minor").unionByName(every.select(*cell, "node", "root", "minor"))
