@@ -21,7 +21,7 @@ WORD_BYTES = bytes(
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of text that a vectorised step handles at once; its temporaries are a few dozen times as large.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 U = np.uint64
 
