@@ -11,7 +11,7 @@ two texts agree in a coordinate with a probability of exactly their weighted Jac
 Plan: texts with equal words become one node first (pre-aggregated, so that copies cost nothing further).
 Nodes that share a band of the signature share a bucket. Each node is compared with its bucket's smallest node
 (a star, not all pairs), exactly, on the shingle multisets; the links are contracted to classes. In buckets
-that still hold several classes, nodes outside the class of the smallest are compared, in blocks of bounded size,
+that still hold several classes, nodes outside the largest class are compared, in blocks of bounded size,
 with all nodes of other classes, so no link between bucket partners is lost; then the classes are contracted again.
 
 Defined cases: a null text is an empty one; texts without words are in one class if they are equal; classes are named by their smallest
@@ -273,12 +273,14 @@ def near_duplicate_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     # buckets of three or more in which several classes are left
     known = cut(members.where("size > 2").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    lead = known.where("node = lead").select("hash", F.col("root").alias("lead_root"))
+    # minor: outside the bucket's largest class, so that few are, whichever class its smallest node is in
     split = (
-        known.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-        .join(lead, "hash").select("hash", "lead_root")
+        known.groupBy("hash", "root").agg(F.count("*").alias("held"))
+        .groupBy("hash").agg(F.count("*").alias("classes"), F.max(F.struct("held", "root")).alias("major"))
+        .where("classes > 1").select("hash", F.col("major.root").alias("major_root"))
     )
-    left_over = cut(known.join(split, "hash").withColumn("is_minor", F.col("root") != F.col("lead_root")))
+    left_over = known.select("hash", "node", "root").join(split, "hash")
+    left_over = cut(left_over.select("hash", "node", "root", (F.col("root") != F.col("major_root")).alias("is_minor")))
     if left_over.isEmpty():
         return sketch.select("id", "node", "n"), root
     blocks = left_over.groupBy("hash").agg(
