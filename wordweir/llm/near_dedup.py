@@ -38,7 +38,7 @@ COORDINATES = BANDS * ROWS
 #: Similarity of a link, as a fraction.
 LINK = (8, 10)
 #: Nodes on either side of a block in the second comparison.
-MINOR_BLOCK, ALL_BLOCK = 64, 192
+MINOR_BLOCK, ALL_BLOCK = 192, 192
 LINKS_A_TASK = 100_000
 
 _STEP = U(0x9E3779B97F4A7C15)
