@@ -163,6 +163,36 @@ def test_pairwise_plans():
     assert merge_plan.pairwise([(3, 1)]) == ([], 3)
 
 
+@pytest.mark.parametrize("top", [1, 3, 50, 10**6])
+def test_cheapest_plans_beyond_the_interval_programme(top, monkeypatch):
+    rng = random.Random(top)
+    for n in [*range(1, 40), 120]:
+        segments = [(k, rng.randint(0, top)) for k in range(n)]
+        _, _, least = merge_plan.cheapest(segments)
+        with monkeypatch.context() as m:
+            m.setattr(merge_plan, "MAX_SEGMENTS", 0)
+            steps, root, cost = merge_plan.cheapest(segments)
+        assert cost == least and len(steps) == n - 1
+        size, span, paid = dict(segments), {k: (k, k + 1) for k in range(n)}, 0
+        for left, right, new in steps:
+            assert span[left][1] == span[right][0]
+            span[new], size[new] = (span[left][0], span[right][1]), size[left] + size[right]
+            paid += 2 * size[new]
+        assert span[root] == (0, n) and paid == cost
+
+
+@pytest.mark.parametrize("kind", ["cheapest", "pairwise"])
+def test_plans_cover_all_segments(spark, kind):
+    n = 1300
+    sizes = spark.range(n).selectExpr("id segment_id", "40000 + id * 7919 % 6007 profile_bytes")
+    rows = merge_plan.plan_of(spark, sizes, kind).orderBy("step").collect()
+    used = sorted(x for r in rows for x in (r["left"], r["right"]))
+    assert used == list(range(2 * n - 2)) and [r["id"] for r in rows] == list(range(n, 2 * n - 1))
+    assert merge_plan.plan_of(spark, sizes.limit(0), kind).schema == merge_plan.plan_of(spark, sizes, kind).schema
+    assert merge_plan.plan_of(spark, sizes.limit(0), kind).count() == 0
+
+
+
 def test_sizes():
     assert [scalars.parse_size(s) for s in ("4096", "4096B", "64k", "1G", "2gb", "3Tb", "5m")] == [4096, 4096, 65536, 1 << 30, 2 << 30, 3 << 40, 5 << 20]
     for bad in ("", "k", "1.5g", " 1", "1kk", "-1", "1 k", "1bk", "١"):
