@@ -145,6 +145,15 @@ def test_merges_in_any_order(spark):
     assert rows(profile.merge(*parts)) == rows(balanced) == rows(deep) == rows(profile.merge(*reversed(parts))) == whole
 
 
+@pytest.mark.parametrize("name", ["merge_halves", "merge_halves_outer"])
+def test_two_profiles_that_hold_the_whole_table_are_merged(spark, sf, name):
+    assert all(half.count() for half in catalogue._halves(spark, sf))
+    whole = profile.profile(spark.read.parquet(f"{sf}/documents.parquet")).select(*profile.SMALL)
+    got = catalogue.QUERIES[name](spark, sf)
+    assert got.agg(F.max("occur")).first()[0] > 2 * catalogue.SEGMENT_BYTES
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_a_profile_merged_with_itself_repeats_all(spark):
     p = profile.profile(docs_of(spark, F1))
     assert profile.singular(profile.merge(p, p)).count() == 0 and profile.singular(profile.merge_outer(p, p)).count() == 0

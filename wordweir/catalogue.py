@@ -104,6 +104,20 @@ def merge_full_outer(spark: SparkSession, folder: str) -> DataFrame:
     return P.merge_outer(s.where("segment_id = 0"), s.where("segment_id = 1"))
 
 
+def _halves(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """The profiles of the even and of the odd segments: together all of the table."""
+    s = _segments(spark, folder).select("segment_id", *P.SMALL)
+    return [P.merge(s.where(F.col("segment_id") % 2 == k)) for k in (0, 1)]
+
+
+def merge_halves(spark: SparkSession, folder: str) -> DataFrame:
+    return P.merge(*_halves(spark, folder))
+
+
+def merge_halves_outer(spark: SparkSession, folder: str) -> DataFrame:
+    return P.merge_outer(*_halves(spark, folder))
+
+
 def profile_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return P.profile_bytes(_profile(spark, folder))
 
@@ -148,8 +162,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         word_scan, word_profile, singular_words, repeated_words, find_first, find_first_none, find_top_n, singular_list, word_count,
-        first_occurrence, segment_profile, segment_stats, segment_manifest, merge_two, merge_all, merge_full_outer, profile_bytes, memory_size_parse,
-        merge_plan_dp, merge_plan_simple, incremental_count, find_first_by_lang, top_n_by_lang,
+        first_occurrence, segment_profile, segment_stats, segment_manifest, merge_two, merge_all, merge_full_outer, merge_halves, merge_halves_outer,
+        profile_bytes, memory_size_parse, merge_plan_dp, merge_plan_simple, incremental_count, find_first_by_lang, top_n_by_lang,
     )
 } | {"prefix_key": prefix_keys} | {f"first_words_{t}": _first_of(t) for t in TEXTS if t != "documents"}
 
@@ -191,6 +205,8 @@ FROM (SELECT segment_id, CAST(sum({_SIZE}) AS BIGINT) size FROM seg GROUP BY 1),
     "merge_two": f"{_W} {_TWO}",
     "merge_full_outer": f"{_W} {_TWO}",
     "merge_all": f"{_W} SELECT word, repeated, occur FROM p",
+    "merge_halves": f"{_W} SELECT word, repeated, occur FROM p",
+    "merge_halves_outer": f"{_W} SELECT word, repeated, occur FROM p",
     "profile_bytes": f"{_W} SELECT CAST(coalesce(sum({_SIZE}), 0) AS BIGINT) bytes FROM p",
     "prefix_key": f"{_W} SELECT word, rpad(left(hex(encode(word)), 16), 16, '0') prefix_hex FROM p",
     "memory_size_parse": f"""
