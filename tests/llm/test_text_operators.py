@@ -105,6 +105,31 @@ def test_language_rejects_and_edges(spark, edges):
     assert language_id.keep_identified(docs).columns == docs.columns
 
 
+def test_few_bad_rows_do_not_set_the_least_score():
+    scores = np.full((800, 4), 0.01)
+    scores[np.arange(800), np.arange(800) % 4] = 0.97
+    truth = np.arange(800) % 4
+    truth[:2] = [1, 2]  # mislabelled
+    scores[2] = [0.24, 0.25, 0.26, 0.25]  # hardly a text
+    assert language_id.least_score(scores, truth) == pytest.approx(0.97 * 0.9)
+    assert language_id.least_score(np.full((9, 4), 0.25), np.zeros(9, int)) > 0.25 and language_id.least_score(np.zeros((0, 4)), np.zeros(0, int)) > 0.25
+    assert language_id.least_score(np.ones((9, 1)), np.zeros(9, int)) <= 1
+
+
+def test_unlearned_languages_and_noise_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language_id.train(language_id.sample(docs, "doc_id", "text", "lang"))
+    rng = np.random.default_rng(5)
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(40)) for _ in range(20)]
+    strange = [
+        "今天天气很好我们去公园散步然后回家吃饭", "Сегодня хорошая погода и мы пошли гулять в парк с детьми", "σήμερα ο καιρός είναι καλός",
+        "Tänään sää on kaunis ja menemme puistoon kävelemään", "오늘 날씨가 좋아서 공원에 갔습니다",
+    ]
+    assert language_id.predict(model, pa.array(noise + strange))[1].max() < model.least
+    clean = [r["text"] for r in docs.where("doc_id % 10 = 0").select("text").collect()]
+    assert (language_id.predict(model, pa.array(clean))[1] >= model.least).mean() >= 0.99
+
+
 def test_language_prediction_is_the_mean_over_all_subwords():
     rng = np.random.default_rng(0)
     model = language_id.Model(["a", "b"], rng.normal(size=(language_id.BUCKETS, 2)), np.array([0.1, -0.2]), 0.7, 0.0)

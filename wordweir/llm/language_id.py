@@ -8,8 +8,9 @@ both linear, the trained model is shipped as one table of logits per bucket.
 
 The sample: for each language up to ``PER_LANG`` rows in the order of a hash of their ids, ``SPAN`` characters at
 a hashed place of each (``MAX_LANGS`` languages at most). A fifth of it calibrates: a temperature that makes
-scores probabilities, and the score below which a prediction is rejected (all but ``REJECTED`` of the calibration
-rows lie above it). Predictions read whole texts.
+scores probabilities, and the score below which a prediction is rejected: all but ``REJECTED`` of the calibration rows
+that are predicted rightly lie above it, or all but ``REJECTED_ROWS`` where that is more, so that no few rows set it; and it
+is above the score of a guess. Predictions read whole texts.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and rejected, and so is every text if nothing
 could be learned; ties go to the first language in sorted order; repeated rows each get their prediction.
@@ -31,7 +32,7 @@ from .common import SLICE_BYTES, released, text_slices
 BUCKETS, DIM = 1 << 16, 16
 PER_LANG, SPAN, MAX_LANGS = 1000, 1500, 256
 EPOCHS, RATE, SEED = 4, 0.5, 11
-REJECTED = 0.001
+REJECTED, REJECTED_ROWS = 0.001, 4
 UND = "und"
 
 _LUT = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint32)
@@ -113,12 +114,21 @@ def train(rows: list[tuple[str, str]]) -> Model | None:
         return -np.log(np.maximum(s[np.arange(len(truth)), truth], 1e-12)).sum() if len(truth) else 0.0
 
     model.temperature = min(np.geomspace(0.1, 10, 41), key=loss)
-    if len(truth):
-        right = model.scores(logits)[np.arange(len(truth)), truth]
-        model.least = float(max(0.0, np.quantile(right, REJECTED) * 0.9))
+    model.least = least_score(model.scores(logits), truth)
     return model
 
 
+def least_score(scores: np.ndarray, truth: np.ndarray) -> float:
+    """The score below which a prediction is rejected, by the calibration rows' scores and labels.
+
+    A wrong prediction says nothing of how sure right ones are, and its label's score may be next to 0. No softmax over k languages
+    scores below 1 / k, so at or below that nothing would be rejected (of one language every score is 1).
+    """
+    right = scores.max(1)[scores.argmax(1) == truth] if len(truth) else np.zeros(0)
+    found = np.quantile(right, max(REJECTED, min(1.0, REJECTED_ROWS / len(right)))) * 0.9 if len(right) else 0.0
+    return float(max(found, min(1.0, 1.1 / scores.shape[1])))
+
+
 def learnable(id_col: str) -> Column:
     """Rows that may be learned from: crc32 of the id as text is not 1 modulo 3."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1
