@@ -79,6 +79,16 @@ def test_near_edges(spark):
     assert sorted((r["doc_id"] or 0, r["class_id"] or 0, r["class_size"]) for r in near_dedup.near_duplicates(nulls).collect()) == [(0, 0, 1), (0, 3, 3), (0, 3, 3), (3, 3, 3)]
 
 
+def test_rows_to_drop_are_known_by_id_and_text(spark):
+    words = [f"w{k}" for k in range(60)]
+    long, near, alone = " ".join(words), " ".join([*words[:-1], "x"]), "a text of its own that no other row has"
+    docs = spark.createDataFrame([(1, long), (2, near), (2, alone), (None, near), (None, long)], "doc_id bigint, text string")
+    kept = near_dedup.drop_near_duplicates(docs).collect()
+    assert sorted(map(tuple, kept)) == [(1, long), (2, alone)]
+    kept = near_dedup.drop_near_duplicates(docs.where("doc_id is null")).collect()
+    assert len(kept) == 1 and kept[0]["doc_id"] is None and kept[0]["text"] in (long, near)
+
+
 def signature_of(sets, k, weights=None):
     n = np.array([len(s) for s in sets])
     regions = np.concatenate([np.array(s, np.uint64) for s in sets])

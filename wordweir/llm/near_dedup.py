@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, cut, mix, powers, released, row_words
@@ -151,6 +151,7 @@ def node_keys(texts: pa.Array, words: np.ndarray, counts: np.ndarray) -> pa.Arra
 def _sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         ids = part.column("id")
+        more = [c for c in part.schema.names if c not in ("id", "text")]
         for row, end, words, counts in row_words(part.column("text")):
             regions, n = shingles(words, counts)
             found = bands(signatures(regions, n)).view(np.int64)
@@ -158,8 +159,9 @@ def _sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     ids.slice(row, end - row), node_keys(part.column("text").slice(row, end - row), words, counts), pa.array(n, pa.int64()),
                     pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), BANDS).cast(pa.list_(pa.int64())),
+                    *(part.column(c).slice(row, end - row) for c in more),
                 ],
-                names=["id", "node", "n", "bands"],
+                names=["id", "node", "n", "bands", *more],
             )
 
 
@@ -234,11 +236,17 @@ def _compare_block(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def near_duplicate_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(id, node, n) of every row and (node, root) of every node with a link."""
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(text_col, F.length(text_col))
+
+
+def near_duplicate_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(id, node, n) of every row, with ``hashed`` also its text_hash, and (node, root) of every node with a link."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    sketch = cut(rows.mapInArrow(released(_sketch), f"id {kind}, node binary, n bigint, bands array<bigint>"))
+    sketched = rows.withColumn("text_hash", text_hash("text")) if hashed else rows
+    sketch = cut(sketched.mapInArrow(released(_sketch), f"id {kind}, node binary, n bigint, bands array<bigint>" + ", text_hash bigint" * hashed))
+    found = sketch.drop("bands")
     nodes = (
         sketch.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     )
@@ -282,7 +290,7 @@ def near_duplicate_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     left_over = known.select("hash", "node", "root").join(split, "hash")
     left_over = cut(left_over.select("hash", "node", "root", (F.col("root") != F.col("major_root")).alias("is_minor")))
     if left_over.isEmpty():
-        return sketch.select("id", "node", "n"), root
+        return found, root
     blocks = left_over.groupBy("hash").agg(
         F.ceil(F.sum(F.col("is_minor").cast("int")) / MINOR_BLOCK).cast("int").alias("minors"), F.ceil(F.count("*") / ALL_BLOCK).cast("int").alias("alls")
     )
@@ -294,7 +302,7 @@ def near_duplicate_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     every = dealt.withColumns({"j": own("alls"), "minor": F.lit(False)}).withColumn("i", F.explode(upto("minors")))
     cells = minor.select(*cell, "node", "root", "minor").unionByName(every.select(*cell, "node", "root", "minor"))
     more = cells.join(regions, "node").groupBy(*cell).applyInPandas(_compare_block, "a binary, b binary")
-    return sketch.select("id", "node", "n"), classes(links.unionByName(more))
+    return found, classes(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,12 +317,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without all but one, that of the smallest id, of each class; columns as before.
+    """The documents without all but one row of each class; columns as before.
 
-    Rows that repeat both id and text are one row. Of rows without an id only those of equal text go.
+    Kept is the row of the smallest id (null ids last), of equal ids that of the smallest node, then of the smallest text hash.
+    Rows that repeat both id and text are one row.
     """
-    gone = near_duplicates(docs, id_col, text_col).where(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("gone")).distinct()
-    whole = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col, F.length(text_col)).alias("text"), F.struct("*").alias("row")
-    )
-    return whole.join(gone, F.col("id") == F.col("gone"), "left_anti").dropDuplicates(["id", "text"]).select("row.*")
+    rows, root = near_duplicate_nodes(docs, id_col, text_col, hashed=True)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "node", "text_hash")
+    per_node = rows.groupBy("node").agg(F.min(order).alias("low"))
+    rooted = cut(per_node.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    kept = rooted.groupBy("root").agg(F.min("low").alias("kept"))
+    kept = cut(rooted.join(kept, "root").select("node", F.col("kept.id").alias("kept_id"), F.col("kept.text_hash").alias("kept_hash")))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    gone = rows.join(kept, "node").where(~same).select(F.col("id").alias("gone"), F.col("text_hash").alias("gone_hash")).distinct()
+    whole = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("text"), F.struct("*").alias("row"))
+    match = F.col("id").eqNullSafe(F.col("gone")) & (F.col("text") == F.col("gone_hash"))
+    return whole.join(gone, match, "left_anti").dropDuplicates(["id", "text"]).select("row.*")
