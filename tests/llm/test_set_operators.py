@@ -130,6 +130,16 @@ def test_words_are_hashed_alike_wherever_they_stand():
     assert n.tolist() == [0, 2, 1, 3, 1] and h[0] == h[3] and h[1] == h[2] == h[4] and len(set(h.tolist())) == 4
 
 
+def test_no_pattern_of_letters_or_words_cancels_out():
+    turn = [bin(k).count("1") % 2 for k in range(2048)]
+    one, two = (bytes(97 + (t ^ f) for t in turn) for f in (0, 1))
+    h, _ = hash_words(np.frombuffer(one + b" " + two, np.uint8), np.array([0]))
+    assert h[0] != h[1]
+    words = np.array([7, 9], np.uint64)
+    a, b = (near_dedup.word_keys(words[[t ^ f for t in turn]], np.array([2048]))[0] for f in (0, 1))
+    assert a[:8] != b[:8] and a[8:] != b[8:]
+
+
 # top-k
 
 

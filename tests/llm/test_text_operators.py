@@ -13,7 +13,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from wordweir.llm.automaton import Automaton
 from wordweir.llm import decontaminate, language_id, line_dedup, packing, queries, token_counts
+from wordweir.llm.common import row_words
 from wordweir.llm.queries import tokenizer_path
 
 CLASH = "doc_id bigint, text string, id string, record int, key string, n int, items string, h int, drop string, ids string"
@@ -62,15 +64,49 @@ def test_decontaminate_is_brute_force(spark, sf, texts, block):
     assert sorted((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got) == sorted(
         (d["doc_id"], n, h, tuple(i)) for d in docs.collect() for n, h, i in [naive_hits(d["text"], items)]
     )
-    kept = decontaminate.drop_contaminated(docs, bench, block_bytes=block).collect()
+    kept = decontaminate.drop_contaminated(docs, bench, block_bytes=block)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = [len(line) - len(line.lstrip(" :+-!")) for line in plan if "MapInArrow" in line]
+    assert len(at) == 1 or len(set(at)) <= 2 and len(at) > 2  # scans stand beside each other, none within another
+    kept = kept.collect()
     assert sorted(map(tuple, kept)) == sorted(tuple(d) for d in docs.collect() if not naive_hits(d["text"], items)[2])
 
 
 def test_spans_are_places_in_the_original():
-    automaton = decontaminate.build([("a", "É été un deux"), ("b", "x")])
+    automaton = Automaton([("a", "É été un deux"), ("b", "x")], 8)
     text = "¿É-- x É. été,UN\tdeux! fin"
-    n, ranges, ids = decontaminate.scan(automaton, text)
-    assert ids == ["a", "b"] and [text[s["start"] : s["end"]] for s in decontaminate.spans(text, ranges)] == ["x É. été,UN\tdeux"]
+    (found,) = automaton.scan(pa.array([text]))
+    assert found.items == ["a", "b"] and [text[s["start"] : s["end"]] for s in decontaminate.spans(text, found.ranges)] == ["x É. été,UN\tdeux"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab ", max_size=30), max_size=6), st.lists(st.text("abc ", max_size=400), max_size=4), st.integers(1, 4))
+def test_automaton_is_brute_force(items, texts, size):
+    items = [(str(k), t) for k, t in enumerate(items)]
+    found = list(Automaton(items, size).scan(pa.array(texts, pa.string())))
+    for text, f in zip(texts, found, strict=True):
+        hit = {w for a, b in f.ranges for w in range(a, b + 1)}
+        assert (f.words, len(hit), f.items) == naive_hits(text, items, size)
+        assert all(a[1] + 1 < b[0] for a, b in zip(f.ranges, f.ranges[1:], strict=False))
+
+
+def test_hits_are_proved_on_the_words(monkeypatch):
+    automaton = Automaton([("a", "one two three")], 8)
+    (_, _, hashes, _), = row_words(pa.array(["one two three"]))
+    true = automaton.numbers(hashes)
+    monkeypatch.setattr(automaton, "numbers", lambda h: np.tile(true, len(h))[: len(h)])
+    assert automaton.states(np.append(true, 0))[2] and automaton.hit[automaton.states(true)[2]]
+    assert [f.items for f in automaton.scan(pa.array(["no such words", "x y z"]))] == [[], []]
+
+
+def test_a_large_benchmark_is_one_automaton():
+    rng = np.random.default_rng(0)
+    items = [(str(k), " ".join(f"w{x}" for x in rng.integers(0, 50_000, 5000))) for k in range(40)]
+    automaton = Automaton(items, 8)
+    size = sum(len(t) for _, t in items)
+    assert automaton.nbytes() < 40 * size and size > 1_000_000
+    (f,) = automaton.scan(pa.array([items[3][1][:400]]))
+    assert f.items == ["3"] and len(f.ranges) == 1
 
 
 def test_decontaminate_edges(spark, edges):

@@ -94,14 +94,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, U(base), dtype=U)
-    if n:
-        out[0] = U(1)
-    return np.cumprod(out, dtype=U)
+_LUT = np.frombuffer(WORD_BYTES, np.uint8)
+#: A random number for each of a word's first places and each byte; a place further on is mixed in.
+PLACES = 64
+_LETTERS = mix(np.arange(1, PLACES * 256 + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
-_LUT = np.frombuffer(WORD_BYTES, np.uint8)
+def letters(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """Numbers whose sum over a word hashes it: each letter is mixed with its place, so that no pattern of letters cancels out."""
+    value = _LETTERS[(place & (PLACES - 1)) * 256 + byte]
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        value[far] = mix(value[far] + (place[far] // PLACES).astype(U) * U(0xD1342543DE82EF95))
+    return value
 
 
 def hash_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,8 +129,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     begin = np.searchsorted(chars, at)
     sizes = np.diff(np.append(begin, len(chars)))
     place = np.arange(len(chars)) - np.repeat(begin, sizes)
-    value = (low[chars].astype(U) + U(1)) * powers(0x9E3779B97F4A7C15, int(sizes.max()))[place]
-    hashes = mix(np.add.reduceat(value, begin) + sizes.astype(U))
+    hashes = mix(np.add.reduceat(letters(place, low[chars]), begin) + sizes.astype(U))
     counts = np.diff(np.append(np.searchsorted(at, starts), len(at)))
     return hashes, counts
 

@@ -1,8 +1,8 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark items.
 
 Every item gives its windows of ``window`` consecutive words (an item with fewer words, but not none, is
-one window). All windows become patterns of one automaton, which scans each normalised text once; the
-matches are mapped back to word numbers and to character offsets in the original text.
+one window). All windows become patterns of one automaton over word numbers (``automaton``), which scans each normalised
+text once; the matches are mapped back to word numbers and to character offsets in the original text.
 
 Defined cases: a null or empty text has no words and no hits; items without an id or without words are
 ignored; rows of the same ``item_id`` count as one item; repeated documents each get their own result;
@@ -12,75 +12,25 @@ an empty benchmark hits nothing; other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
-import ahocorasick
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, held, to_batch
+from .automaton import Automaton
+from .common import WORD_BYTES, held, released, to_batch
 
 WINDOW = 8
-#: Bytes of item texts in one automaton, which takes up to 360 times as many (measured on random words: each word stands in
-#: eight windows, and a node takes 32 bytes). A larger benchmark is scanned in as many passes as it has blocks.
-BLOCK_BYTES = 1 << 20
+#: Bytes of item texts in one automaton, which takes 22 times as many, and 40 times while it is built (measured on random words: each
+#: stands in eight windows). A larger benchmark is scanned in as many passes as it has blocks.
+BLOCK_BYTES = 12 << 20
 
-_GAPS = re.compile(b"  +")
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 _RANGE = pa.struct([("first", pa.int64()), ("last", pa.int64())])
 
 
-def words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "replace").translate(WORD_BYTES).split() if text else []
-
-
-def windows(text: str | None, size: int = WINDOW) -> list[list[bytes]]:
-    w = words(text)
-    return [w[i : i + size] for i in range(max(1, len(w) - size + 1))] if w else []
-
-
-def build(items: list[tuple[str, str]], size: int = WINDOW) -> ahocorasick.Automaton | None:
-    """Patterns are ' w1 ... wn ' with one character per byte; values are (n, item ids)."""
-    found: dict[str, tuple[int, set[str]]] = {}
-    for item, text in items:
-        for w in windows(text, size):
-            found.setdefault((b" " + b" ".join(w) + b" ").decode("latin-1"), (len(w), set()))[1].add(item)
-    if not found:
-        return None
-    automaton = ahocorasick.Automaton()
-    for pattern, (n, ids) in found.items():
-        automaton.add_word(pattern, (n, tuple(sorted(ids))))
-    automaton.make_automaton()
-    return automaton
-
-
-def scan(automaton: ahocorasick.Automaton | None, text: str | None) -> tuple[int, list[tuple[int, int]], list[str]]:
-    """Number of words, merged ranges of hit words (both ends included), sorted ids of the items that occur."""
-    if not text:
-        return 0, [], []
-    # runs of parting bytes become one space each; no list of words is made
-    line = (b" " + _GAPS.sub(b" ", text.encode("utf-8", "replace").translate(WORD_BYTES)).strip(b" ") + b" ").decode("latin-1")
-    n_words = line.count(" ") - 1 if len(line) > 2 else 0
-    if not n_words or automaton is None:
-        return n_words, [], []
-    ranges, ids, seen, spaces = [], set(), 0, 0
-    for end, (n, items) in automaton.iter(line):
-        spaces += line.count(" ", seen, end)
-        seen = end
-        ranges.append((spaces - n, spaces - 1))
-        ids.update(items)
-    merged: list[tuple[int, int]] = []
-    for first, last in sorted(ranges):
-        if merged and first <= merged[-1][1] + 1:
-            merged[-1] = (merged[-1][0], max(merged[-1][1], last))
-        else:
-            merged.append((first, last))
-    return n_words, merged, sorted(ids)
-
-
 def spans(text: str, ranges: list[tuple[int, int]]) -> list[dict]:
     """Character offsets in the original text of ranges of words."""
     if not ranges:
@@ -106,7 +56,7 @@ def _send(docs: DataFrame, items: list[tuple[str, str]], size: int) -> tuple[Bro
 
 
 def _pass(docs: DataFrame, items: list[tuple[str, str]], size: int) -> DataFrame:
-    """docs: columns id, text. One scan by one automaton."""
+    """docs: columns id, text_hash, text. One scan by one automaton."""
     sent, key = _send(docs, items, size)
     id_type = docs.schema["id"].dataType
     schema = (
@@ -115,7 +65,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], size: int) -> DataFrame
     )
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = held("automaton", key, lambda: build(sent.value, size))
+        automaton = held("automaton", key, lambda: Automaton(sent.value, size))
         for part in parts:
             out = pa.schema(
                 [
@@ -123,17 +73,17 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], size: int) -> DataFrame
                     ("ranges", pa.list_(_RANGE)), ("items", pa.list_(pa.string())), ("spans", pa.list_(_SPAN)),
                 ]
             )
-            rows = []
-            for doc, text_hash, text in zip(*(part.column(c) for c in ("id", "text_hash", "text")), strict=True):
-                text = text.as_py()
-                n, ranges, ids = scan(automaton, text)
-                rows.append(
-                    (doc.as_py(), text_hash.as_py(), n, [{"first": a, "last": b} for a, b in ranges], ids, spans(text, ranges) if ranges else [])
+            texts = part.column("text")
+            rows = [
+                (doc, text_hash, f.words, [{"first": a, "last": b} for a, b in f.ranges], f.items, spans(text.as_py(), f.ranges) if f.ranges else [])
+                for doc, text_hash, text, f in zip(
+                    part.column("id").to_pylist(), part.column("text_hash").to_pylist(), texts, automaton.scan(texts), strict=True
                 )
+            ]
             if rows:
                 yield to_batch(rows, out)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str]]]:
@@ -177,39 +127,64 @@ def decontaminate(
     )
 
 
+def _text_key(text: Column) -> list[Column]:
+    """128 bits of a text; a null text is an empty one."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("key_a"), F.xxhash64(F.lit(5), text).alias("key_b")]
+
+
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, *, least: int = 1, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The documents in which windows of fewer than ``least`` items occur; columns as before.
 
-    Narrow: each block of the benchmark adds its number of items to the row itself, so no text is shuffled.
+    One block is one narrow pass. Of more blocks, each is a scan of its own (no worker holds two automata), and the hashes
+    of the texts that hold enough items are taken out by an anti-join.
     """
-    rows = docs.select(F.col(text_col).alias("text"), F.lit(0).cast("bigint").alias("n"), F.struct("*").alias("row"))
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        rows = rows.mapInArrow(_adder(docs, items, window), rows.schema)
-    return rows.where(F.col("n") < least).select("row.*")
-
-
-def _adder(docs: DataFrame, items: list[tuple[str, str]], size: int):  # noqa: ANN202
-    sent, key = _send(docs, items, size)
+    blocks = list(_blocks(benchmark, item_col, item_text_col, block_bytes))
+    if len(blocks) == 1:
+        at, (sent, key) = docs.columns.index(text_col), _send(docs, blocks[0], window)
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = held("automaton", key, lambda: Automaton(sent.value, window))
+            for part in parts:
+                yield part.filter(pa.array([len(f.items) < least for f in automaton.scan(part.column(at))], pa.bool_()))
+
+        return docs.mapInArrow(released(run), docs.schema)
+    found = None
+    for items in blocks:
+        one = _counts(docs.select(*_text_key(F.col(text_col)), F.col(text_col).alias("text")), items, window)
+        found = one if found is None else found.unionByName(one)
+    # equal texts have equal counts in a block: the largest of a block is one text's
+    per_block = found.groupBy("key_a", "key_b", "block").agg(F.max("n").alias("n"))
+    gone = per_block.groupBy("key_a", "key_b").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key_a", "key_b")
+    whole = docs.select(*_text_key(F.col(text_col)), F.struct("*").alias("row"))
+    return whole.join(gone, ["key_a", "key_b"], "left_anti").select("row.*")
+
+
+def _counts(texts: DataFrame, items: list[tuple[str, str]], size: int) -> DataFrame:
+    """(key_a, key_b, block, n) of the texts in which n > 0 of the block's items occur."""
+    sent, key = _send(texts, items, size)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = held("automaton", key, lambda: build(sent.value, size))
+        automaton = held("automaton", key, lambda: Automaton(sent.value, size))
         for part in parts:
-            found = [n + len(scan(automaton, text.as_py())[2]) for text, n in zip(part.column(0), part.column(1).to_pylist(), strict=True)]
-            yield part.set_column(1, part.schema.field(1), pa.array(found, pa.int64()))
+            n = pa.array([len(f.items) for f in automaton.scan(part.column("text"))], pa.int64())
+            some = [i for i, k in enumerate(n.to_pylist()) if k]
+            arrays = [part.column(c).take(pa.array(some, pa.int64())) for c in ("key_a", "key_b")]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([key] * len(some), pa.string()), n.take(pa.array(some, pa.int64()))], names=["key_a", "key_b", "block", "n"])
 
-    return run
+    return texts.mapInArrow(released(run), "key_a bigint, key_b bigint, block string, n bigint")
 
 
-def _union(column: str, a: str, b: str, gap: int):
+def _union(column: str, a: str, b: str, gap: int) -> Column:
     """Sorted intervals with those that meet made one."""
     kind = f"array<struct<{a}:bigint,{b}:bigint>>"
     return F.aggregate(column, F.array().cast(kind), lambda done, r: _add(done, r, a, b, gap, kind))
 
 
-def _add(done, r, a: str, b: str, gap: int, kind: str):
+def _add(done: Column, r: Column, a: str, b: str, gap: int, kind: str) -> Column:
     last = F.try_element_at(done, F.lit(-1))
     head = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
     grown = F.struct(last[a].alias(a), F.greatest(last[b], r[b]).alias(b))

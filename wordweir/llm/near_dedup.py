@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, cut, mix, powers, released, row_words
+from .common import U, cut, mix, released, row_words
 
 SHINGLE = 5
 #: At a similarity of 0.8 two texts share at least one of 20 bands of 5 coordinates with probability 0.9996.
@@ -128,13 +128,13 @@ def word_keys(words: np.ndarray, counts: np.ndarray) -> list[bytes]:
     """128 bits of each text's word sequence."""
     first = np.cumsum(counts) - counts
     place = np.arange(len(words)) - np.repeat(first, counts)
-    longest = int(counts.max()) if len(counts) else 0
     full = counts > 0
     halves = []
-    for base, salt in ((0xC2B2AE3D27D4EB4F, 0), (0x165667B19E3779F9, 0x27D4EB2F165667C5)):
+    for step, salt in ((0xC2B2AE3D27D4EB4F, 0), (0x165667B19E3779F9, 0x27D4EB2F165667C5)):
         key = np.zeros(len(counts), U)
         if len(words):
-            key[full] = np.add.reduceat(mix(words + U(salt)) * powers(base, longest)[place], first[full])
+            # each word is mixed with its place before the sum
+            key[full] = np.add.reduceat(mix(mix(words + U(salt)) + place.astype(U) * U(step)), first[full])
         halves.append(mix(key + counts.astype(U)))
     both = np.stack(halves, 1).astype(">u8")
     return [x.tobytes() for x in both]
