@@ -165,7 +165,7 @@ def test_topk_is_brute_force(spark, tmp_path):
 
 
 def test_topk_over_many_blocks(spark, sf, tmp_path, monkeypatch):
-    for name, size in (("QUERY_BLOCK", 7), ("CANDIDATE_BLOCK", 60)):
+    for name, size in (("QUERY_BYTES", 7 * 512), ("CANDIDATE_BYTES", 60 * 512), ("FIRST", 70), ("LEAST_ROWS", 5), ("TILE", 600)):
         monkeypatch.setattr(topk, name, size)
     got = queries.op3_topk(spark, sf).collect()
     stored = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
@@ -176,8 +176,45 @@ def test_bounds_hold():
     rng = np.random.default_rng(5)
     q, c = rng.integers(-99, 99, (20, 64)), rng.integers(-99, 99, (50, 64))
     exact = q @ c.T
-    bounds = [topk.statistics(q.astype(float), s) @ topk.statistics(c.astype(float), s).T for s in topk.resolutions(64)]
-    assert len(bounds) == 3 and all((b >= exact - 1e-6).all() for b in bounds) and (bounds[0] >= bounds[2] - 1e-6).all()
+    turn = topk.rotation(c.astype(float))
+    np.testing.assert_allclose(turn @ turn.T, np.eye(64), atol=1e-9)
+    for m in (np.eye(64), turn):
+        bounds = [topk.statistics(q @ m, *r) @ topk.statistics(c @ m, *r).T for r in topk.resolutions(64)]
+        assert len(bounds) == 7 and all((b >= exact - 1e-6).all() for b in bounds)
+        assert all((x >= y - 1e-6).all() for x, y in zip(bounds, bounds[1:], strict=False))
+    for dim in (1, 2, 3, 5, 8, 12, 100, 768):
+        h = topk.haar(dim)
+        np.testing.assert_allclose(h @ h.T, np.eye(dim), atol=1e-9)
+
+
+def test_bounds_drop_nearly_all_pairs():
+    rows = [(r["vec_id"], r["embedding"]) for r in pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet").to_dict("records")]
+    ids, v = np.array([i for i, _ in rows]), np.floor(np.array([x for _, x in rows], float) * 64).astype(np.int64)
+    ask, tally = ids % 20 == 0, {}
+    got = topk.search(ids[ask], v[ask], ids, v, 20, topk.rotation(v.astype(float)), None, tally)
+    assert tally["pairs"] == ask.sum() * (len(ids) - 1) and tally["exact"] < 0.05 * tally["pairs"]
+    score = v[ask] @ v.T
+    score[np.arange(len(score)), np.flatnonzero(ask)] = -(10**9)
+    want = [(int(q), int(ids[j]), int(row[j])) for q, row in zip(ids[ask], score, strict=True) for j in np.lexsort((ids, -row))[:20]]
+    assert sorted(got) == sorted(want)
+
+
+def test_repeated_ids_and_ties(spark):
+    rows = [(1, [5, 0]), (1, [9, 9]), (2, [1, 1]), (3, [1, 1]), (3, [1, 1]), (4, [1, 1]), (None, [9, 9]), (5, None)]
+    v = spark.createDataFrame(rows, "id bigint, v array<bigint>")
+    got = sorted(map(tuple, topk.top_k(v, v.where("id = 1 or id = 3"), 3).collect()))
+    # of the query rows of id 1 the smallest vector asks; no row of the query's own id is its candidate
+    assert got == [(1, 1, 2, 5), (1, 2, 3, 5), (1, 3, 3, 5), (3, 1, 1, 18), (3, 2, 1, 5), (3, 3, 2, 2)]
+
+
+def test_scores_of_any_size(spark):
+    big = 1 << 40
+    rows = [(k, [big + k, -k, 1, 2 * k, 0, 0, 0, 0]) for k in range(30)] + [(99, [1 << 62] * 8)]
+    v = spark.createDataFrame(rows, "id bigint, v array<bigint>")
+    got = sorted(map(tuple, topk.top_k(v, v.where("id = 3"), 40).collect()))
+    held = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    best = sorted((-held(sum(a * b for a, b in zip(rows[3][1], x, strict=True))), i) for i, x in rows if i != 3)
+    assert got == [(3, n + 1, i, -s) for n, (s, i) in enumerate(best)]
 
 
 def test_topk_of_nothing(spark):
