@@ -147,35 +147,76 @@ def test_few_bad_rows_do_not_set_the_least_score():
     truth = np.arange(800) % 4
     truth[:2] = [1, 2]  # mislabelled
     scores[2] = [0.24, 0.25, 0.26, 0.25]  # hardly a text
-    assert language_id.least_score(scores, truth) == pytest.approx(0.97 * 0.9)
+    assert language_id.least_score(scores, truth) == pytest.approx(0.97 * language_id.MARGIN)
     assert language_id.least_score(np.full((9, 4), 0.25), np.zeros(9, int)) > 0.25 and language_id.least_score(np.zeros((0, 4)), np.zeros(0, int)) > 0.25
     assert language_id.least_score(np.ones((9, 1)), np.zeros(9, int)) <= 1
 
 
-def test_unlearned_languages_and_noise_are_rejected(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    model = language_id.train(language_id.sample(docs, "doc_id", "text", "lang"))
+STRANGE = [
+    "今天天气很好我们去公园散步然后回家吃饭", "Сегодня хорошая погода и мы пошли гулять в парк с детьми", "σήμερα ο καιρός είναι καλός", "오늘 날씨가 좋아서 공원에 갔습니다",
+    "Tänään sää on kaunis ja menemme puistoon kävelemään", "Dnes je krásné počasí a jdeme se procházet do parku s dětmi", "Ma szép idő van és a parkba megyünk sétálni",
+    "Времето днес е хубаво и отиваме на разходка в парка", "Bugün hava çok güzel ve çocuklarla parka yürüyüşe gidiyoruz", "Hari ini cuacanya bagus dan kami pergi berjalan ke taman",
+    "deadbeef0123456789abcdef0fedcba9876543210cafebabe", "asdf jkl; qwer uiop zxcv bnm asdfgh jklqwe rtyuio pzxcvb", "sdfkjh sdkfjhsdf kjhsdf kjhsdfkjh sdfkjhsdf",
+]
+
+
+@pytest.mark.parametrize("scale", ["0.001", "0.01", "0.1"])
+def test_unlearned_languages_and_noise_are_rejected(spark, scale):
+    import corpus_pipeline
+
+    folder = f"/root/testdata/sf{scale}"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
     rng = np.random.default_rng(5)
-    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(40)) for _ in range(20)]
-    strange = [
-        "今天天气很好我们去公园散步然后回家吃饭", "Сегодня хорошая погода и мы пошли гулять в парк с детьми", "σήμερα ο καιρός είναι καλός",
-        "Tänään sää on kaunis ja menemme puistoon kävelemään", "오늘 날씨가 좋아서 공원에 갔습니다",
-    ]
-    assert language_id.predict(model, pa.array(noise + strange))[1].max() < model.least
-    clean = [r["text"] for r in docs.where("doc_id % 10 = 0").select("text").collect()]
-    assert (language_id.predict(model, pa.array(clean))[1] >= model.least).mean() >= 0.99
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(n)) for n in (3, 40, 400) for _ in range(20)]
+    odd = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(noise + STRANGE)], docs.schema)
+    kept = [r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(odd), folder).select("doc_id").collect()]
+    assert max(kept) < 10**9 and len(kept) >= 0.995 * docs.count()
+
+
+def test_temperature_and_thresholds_are_inside_their_ranges(spark):
+    for scale in ("0.001", "0.01", "0.1"):
+        docs = spark.read.parquet(f"/root/testdata/sf{scale}/documents.parquet")
+        model = language_id.train(language_id.sample(docs, "doc_id", "text", "lang"))
+        assert 0.011 < model.temperature < 9 and 0.3 < model.least < 1 and 0 < model.familiar < 2
+
+
+def test_gradients_are_differences():
+    rng = np.random.default_rng(0)
+    emb, out, bias, part = rng.normal(size=(5, 3)), rng.normal(size=(3, 4)), rng.normal(size=4), rng.random(5)
+
+    def loss():
+        z = part @ emb @ out + bias
+        return np.log(np.exp(z).sum()) - z[2]
+
+    for x, g in zip((emb, out, bias), language_id.gradients(emb, out, bias, part, 2), strict=True):
+        for i in np.ndindex(x.shape):
+            x[i] += 1e-6
+            up = loss()
+            x[i] -= 2e-6
+            down = loss()
+            x[i] += 1e-6
+            assert abs((up - down) / 2e-6 - g[i]) < 1e-6
+
+
+def test_familiarity_is_the_share_against_chance():
+    ids, part = np.array([3, 9]), np.array([0.25, 0.75])
+    known = language_id.familiarity([(ids, part, 8, 1)], 2)
+    total = 8 + 0.5 * language_id.BUCKETS
+    assert known[1, 3] == pytest.approx(np.log(2.5 / total * language_id.BUCKETS)) and known[1, 4] == pytest.approx(np.log(0.5 / total * language_id.BUCKETS))
+    assert np.allclose(known[0], 0) and sorted(language_id.shuffled("ab, cd é", np.random.default_rng(1))) == sorted("ab, cd é")
 
 
 def test_language_prediction_is_the_mean_over_all_subwords():
     rng = np.random.default_rng(0)
-    model = language_id.Model(["a", "b"], rng.normal(size=(language_id.BUCKETS, 2)), np.array([0.1, -0.2]), 0.7, 0.0)
+    model = language_id.Model(["a", "b"], rng.normal(size=(2, language_id.BUCKETS)), np.array([0.1, -0.2]), 0.7, 0.0, rng.normal(size=(2, language_id.BUCKETS)))
     many = ["Élan vital", "abc", None, "x" * 3_000_000, "zw\x00ei drei", "a"]
-    _, best = language_id.predict(model, pa.array(many, pa.string()))
-    for text, score in zip(many, best, strict=True):
+    langs, best, known = language_id.predict(model, pa.array(many, pa.string()))
+    for text, lang, score, f in zip(many, langs, best, known, strict=True):
         if text is not None:
             ids, part = language_id.features(text)
-            z = (part @ model.table[ids] + model.bias) / 0.7
-            assert abs(score - np.exp(z - z.max()).max() / np.exp(z - z.max()).sum()) < 1e-9
+            z = (model.table[:, ids] @ part + model.bias) / 0.7
+            assert abs(score - np.exp(z - z.max()).max() / np.exp(z - z.max()).sum()) < 1e-6
+            assert abs(f - model.known["ab".index(lang), ids] @ part) < 1e-6
 
 
 # lines
@@ -308,7 +349,7 @@ def test_long_texts_are_packed_in_parts(monkeypatch, texts):
 
 def test_language_in_parts(monkeypatch):
     rng = np.random.default_rng(0)
-    model = language_id.Model(["a", "b"], rng.normal(size=(language_id.BUCKETS, 2)), np.zeros(2), 1.0, 0.0)
+    model = language_id.Model(["a", "b"], rng.normal(size=(2, language_id.BUCKETS)), np.zeros(2), 1.0, 0.0)
     many = pa.array(["abc def é" * k for k in (1, 0, 30, 2, 90)], pa.string())
     whole = language_id.predict(model, many)[1]
     monkeypatch.setattr(language_id, "SLICE_BYTES", 3)

@@ -44,7 +44,7 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", (~language_id.learnable("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+    return found.select("doc_id", (~language_id.learnable("doc_id")).alias("held_out"), "lang_pred", "score", "familiarity", "accepted")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
