@@ -227,35 +227,100 @@ def test_topk_of_nothing(spark):
 # sharding
 
 
-def test_shards(spark, sf):
-    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(None, None), (None, "x"), (5, None), (9, "same"), (9, "same")]
-    docs = spark.createDataFrame([(d, t, 1, 2, "c") for d, t in rows], "doc_id bigint, text string, shard int, slot int, bucket string")
-    got = sharding.shuffle_into_shards(docs, bucket_bytes=20_000).collect()
-    assert sorted(((r["record"]["doc_id"], r["record"]["text"]) for r in got), key=str) == sorted(rows, key=str)
-    by = defaultdict(list)
-    for r in got:
-        by[r["shard"]].append(r)
-        assert r["grown_shard"] in (r["shard"], 8)
-    assert set(by) == set(range(8)) and max(r["bucket"] for r in got) > 0
-    for members in by.values():
-        members.sort(key=lambda r: r["slot"])
-        assert [r["slot"] for r in members] == list(range(len(members))) and [r["bucket"] for r in members] == sorted(r["bucket"] for r in members)
-        ids = [r["record"]["doc_id"] or 0 for r in members]
-        assert ids != sorted(ids)
-    again = sharding.shuffle_into_shards(docs.repartition(7), bucket_bytes=20_000).collect()
-    where = lambda rs: sorted((str(r["record"]["doc_id"]), str(r["record"]["text"]), r["shard"], r["slot"]) for r in rs if r["record"]["doc_id"] != 9)
-    assert where(again) == where(got)
-    grown = {(r["record"]["doc_id"], r["record"]["text"]): r["shard"] for r in sharding.shuffle_into_shards(docs, 9).collect()}
-    assert all(grown[r["record"]["doc_id"], r["record"]["text"]] == r["grown_shard"] for r in got)
+def naive_shuffle(n, seed):
+    """Fisher-Yates from the inside out, by Spark's generator (MT19937, seeded by the two halves of a long)."""
+    draw = np.random.RandomState(np.array([seed >> 32, seed & 0xFFFFFFFF], np.uint32))
+    bits = lambda: int(draw.randint(0, 2**32, dtype=np.uint32)) >> 1
+
+    def below(m):
+        if m & -m == m:
+            return m * bits() >> 31
+        while True:
+            x = bits()
+            if x - x % m + m - 1 < 2**31:
+                return x % m
+
+    out = []
+    for i in range(n):
+        j = below(i + 1)
+        out.append(i)
+        if j != i:
+            out[i] = out[j]
+        out[j] = i
+    return out
+
+
+def spark_hash(*longs, seed=42):
+    import struct
+
+    import xxhash
+
+    for kind, x in longs:
+        seed = xxhash.xxh64(struct.pack(kind, x), seed).intdigest()
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def naive_shards(rows, bucket_bytes, shards=8):
+    """rows: (row number, key, text) -> {row number: (shard, grown_shard, bucket, slot)}."""
+    import hashlib
+
+    best = lambda key, n: max((hashlib.md5(f"{'~' if key is None else key}:{sharding.SEED}:{s}".encode()).hexdigest(), s) for s in range(n))[1]
+    size = lambda t: len((t or "").encode()) + 1
+    of = {r: best(k, shards) for r, k, _ in rows}
+    buckets = [max(1, -(-sum(size(t) for r, _, t in rows if of[r] == s) // bucket_bytes)) for s in range(shards)]
+    members = defaultdict(list)
+    for r, _, _ in rows:
+        members[of[r], spark_hash(("<i", sharding.SEED + 1), ("<q", r)) % buckets[of[r]]].append(r)
+    assert all(sum(size(t) for r, _, t in rows if r in m) <= 2 * bucket_bytes + max(size(t) for *_, t in rows) for m in map(set, members.values()))
+    out, task = {}, 0
+    grown = {r: best(k, shards + 1) for r, k, _ in rows}
+    for s in range(shards):
+        base = 0
+        for b in range(buckets[s]):
+            mine = sorted(members[s, b], key=lambda r: spark_hash(("<i", sharding.SEED + 2), ("<q", r)))
+            for at, i in enumerate(naive_shuffle(len(mine), sharding.SEED + task)):
+                out[mine[i]] = s, grown[mine[i]], b, base + at
+            base, task = base + len(mine), task + 1
+    return out
+
+
+def test_sharding_is_brute_force(spark, sf, tmp_path):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows += [(None, None), (None, "x"), (5, None), (9, "same"), (9, "same")] + [(None, "hot " * 20)] * 400
+    docs = spark.createDataFrame([(i, d, t, 1, 2, "c") for i, (d, t) in enumerate(rows)], "place int, doc_id bigint, text string, shard int, slot int, bucket string")
+    docs.repartition(3, "place").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    got = sharding.shuffle_into_shards(docs, bucket_bytes=20_000)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    numbers = {r["place"]: r["row"] for r in docs.select("place", F.monotonically_increasing_id().alias("row")).collect()}
+    want = naive_shards([(numbers[i], d, t) for i, (d, t) in enumerate(rows)], 20_000)
+    assert {numbers[r["record"]["place"]]: (r["shard"], r["grown_shard"], r["bucket"], r["slot"]) for r in got.collect()} == want
+    assert len({b for s, _, b, _ in want.values() if s == want[numbers[len(rows) - 1]][0]}) > 2  # equal rows are spread
+    grown = {r["record"]["place"]: r["shard"] for r in sharding.shuffle_into_shards(docs, 9).collect()}
+    assert all(grown[i] == want[numbers[i]][1] for i in grown)
     assert sharding.shuffle_into_shards(docs.limit(0)).count() == 0
 
 
+def test_buckets_that_turn_out_large_are_split(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, "y" * 99) for i in range(300)], "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    got = sharding.shuffle_into_shards(docs, bucket_bytes=300).collect()
+    by = Counter((r["shard"], r["bucket"]) for r in got)
+    assert len(got) == 300 and max(by.values()) * 100 <= 700
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(n for (t, _), n in by.items() if t == s)))
+
+
 def test_sharding_query(spark, sf, tmp_path):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = queries.op5_sharding(spark, sf).collect()
     assert len(got) == len(texts)
     assert all(r["size"] == len(texts[r["doc_id"]].encode()) + 1 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in got)
-    sharding.write_shards(sharding.shuffle_into_shards(spark.read.parquet(f"{sf}/documents.parquet")), f"{tmp_path}/out")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    numbers = {r["doc_id"]: r["row"] for r in docs.select("doc_id", F.monotonically_increasing_id().alias("row")).collect()}
+    want = naive_shards([(numbers[d], d, t) for d, t in texts.items()], sharding.BUCKET_BYTES)
+    assert {numbers[r["doc_id"]]: (r["shard"], r["grown_shard"], 0, r["slot"]) for r in got} == want and {r["law"] for r in got} == {"key"}
+    sharding.write_shards(sharding.shuffle_into_shards(docs), f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(texts)
 
 

@@ -56,6 +56,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5 that SQL can express: all but the shuffled places and the checksum."""
+    return op5_sharding(spark, sf_dir).select("doc_id", "size", "law", "shard", "grown_shard")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("record.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -88,7 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_near_dedup, op3_topk, op4_language_id, op5_sharding,
-        op6_line_dedup, op7_url_filter, op8_warc, op9_packing, op10_token_counts,
+        op6_line_dedup, op7_url_filter, op8_warc, op9_packing, op10_token_counts, shard_law,
     )
 }
 
@@ -131,6 +136,11 @@ s AS (SELECT q.vec_id query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS B
       FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "shard_law": f"""
+WITH r AS (SELECT doc_id, text, list_transform(range(0, 9), lambda s: {{'h': md5(concat(coalesce(CAST(doc_id AS VARCHAR), '~'), ':{sharding.SEED}:', s)), 's': s}}) r FROM documents)
+SELECT doc_id, CAST(strlen(coalesce(text,'')) + 1 AS BIGINT) size, 'key' law, CAST(list_reverse_sort(r[1:8])[1].s AS INTEGER) shard,
+       CAST(list_reverse_sort(r)[1].s AS INTEGER) grown_shard
+FROM r""",
     "op6_line_dedup": rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text,''), chr(10))) line, generate_subscripts(string_split(coalesce(text,''), chr(10)),1) p FROM documents),
 k AS (SELECT doc_id, p, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),{_AZ}) key FROM l),
