@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
-from wordweir.llm import near_dedup, queries, sharding, topk, url_filter, warc
+from wordweir.llm import common, near_dedup, queries, sharding, topk, url_filter, warc
 from wordweir.llm.common import hash_words
 from wordweir.llm.queries import tokenizer_path
 
@@ -114,6 +114,58 @@ def test_block_comparison_links_what_is_alike():
     assert near_dedup._compare_block(cell).values.tolist() == [[b"a", b"b"]]
 
 
+def template_rows(n=400):
+    """Texts that share a template but little else; some pairs of them are near duplicates, and a few are near copies of the template."""
+    rng = np.random.default_rng(8)
+    template, rows = [f"t{k}" for k in range(140)], []
+    for k in range(n):
+        own = [f"o{rng.integers(10**9)}" for _ in range(60)]
+        rows.append((k, " ".join(template + own)))
+        if k % 20 == 0:  # its near copy
+            rows.append((n + k, " ".join(template + own[:50] + [f"p{rng.integers(10**9)}" for _ in range(5)])))
+    return rows + [(3 * n + k, " ".join(template[k:] + ["end"])) for k in range(3)]
+
+
+def test_a_template_s_many_classes_are_told_apart_without_all_pairs(spark, monkeypatch):
+    rows = template_rows()
+    compared = []
+    monkeypatch.setattr(near_dedup, "_blocks", lambda left, regions: compared.append(left.groupBy("key").count().agg(F.max("count")).first()[0]) or left.select("node", "node").toDF("a", "b").limit(0))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    # of 423 texts that share bands, hardly any pair is left for the comparison by blocks
+    assert not compared or compared[0] < 10
+    monkeypatch.undo()
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == dict(zip([d for d, _ in rows], naive_classes(rows), strict=True))
+
+
+def test_long_texts_go_in_pieces(spark):
+    words = [f"word{k}" for k in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-9], "x"])), (3, " ".join(reversed(words))), (4, "-" * 1_200_000 + "a b"), (5, "a b"), (6, "q" * 1_500_000)]
+    assert min(len(rows[0][1]), len(rows[1][1])) > 2 * common.SLICE_BYTES
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
+
+
+def test_hot_keys_are_joined_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 5)
+    rows = spark.createDataFrame([(k if k < 20 else 99, k) for k in range(60)], "key int, x int")
+    table = rows.groupBy("key").agg(F.count("*").alias("size")).where("key > 3").withColumn("y", F.col("key") * 2)
+    got = sorted(map(tuple, common.hot_join(rows, table, "key", 60).collect()))
+    assert got == sorted((k, x, n, 2 * k) for k, x, n in [(k, k, 1) for k in range(4, 20)] + [(99, x, 40) for x in range(20, 60)])
+
+
+def test_files_of_forgotten_tables_are_deleted(spark):
+    import os
+
+    df = common.cut(spark.range(100))
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert os.path.exists(file) and df.count() == 100
+    common.forget(df)
+    assert not os.path.exists(file)
+    common.forget(spark.range(3))
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     names = [bytes(x) for x in rng.integers(0, 256, (60, 16), dtype=np.uint8)]

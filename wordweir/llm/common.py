@@ -47,6 +47,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a ``cut`` table that nothing reads any more (best effort)."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return
+    file = plan.rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys of more than one row in so many are hot: there are at most so many of them, so they may be broadcast.
+HOT = 10_000
+LEAST_HOT = 1000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with a table of one row a key, whose ``size`` is the key's number of rows; ``total`` is their sum.
+
+    Hot keys (at most HOT) are broadcast, so that none of their rows is shuffled; the others are joined by a shuffle.
+    """
+    least = max(LEAST_HOT, total // HOT)
+    hot = F.broadcast(table.where(F.col("size") > least))
+    cold = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("size") <= least), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), the value computed once however often it is used (also inside a lambda)."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -9,10 +9,16 @@ and it is doubled for a text with a coordinate that no dart hit. The earliest da
 two texts agree in a coordinate with a probability of exactly their weighted Jaccard similarity.
 
 Plan: texts with equal words become one node first (pre-aggregated, so that copies cost nothing further).
-Nodes that share a band of the signature share a bucket. Each node is compared with its bucket's smallest node
-(a star, not all pairs), exactly, on the shingle multisets; the links are contracted to classes. In buckets
-that still hold several classes, nodes outside the largest class are compared, in blocks of bounded size,
-with all nodes of other classes, so no link between bucket partners is lost; then the classes are contracted again.
+Nodes that share a band of the signature share a bucket, and the buckets of one lead (the node of the least hash) are one group. Each node
+is compared with its lead (a star, not all pairs), exactly, on the shingle multisets; the links are contracted to classes.
+
+In a group that still holds several classes (texts of one template, say) its other pairs are found by an exact prefix filter: two sets
+that are 0.8 alike share one of their first fifth and one regions in any fixed order. The order puts the lead's regions last,
+so what all of the group have in common finds no one. Groups of (lead, region) get a lead of their own and a star; in those of
+which several classes are left still, nodes outside the largest class are compared, in blocks of bounded size,
+with all nodes of other classes. So no link between bucket partners is lost.
+
+A hot group is no hot task: its rows are joined to copies of the lead's regions, one for every ``A_LEAD`` rows.
 
 Defined cases: a null text is an empty one; texts without words are in one class if they are equal; classes are named by their smallest
 document id (null ids: by the smallest other one, else null); repeated rows are copies.
@@ -29,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, cut, mix, released, row_words
+from .common import U, cut, forget, hot_join, mix, released, row_words
 
 SHINGLE = 5
 #: At a similarity of 0.8 two texts share at least one of 20 bands of 5 coordinates with probability 0.9996.
@@ -39,8 +45,13 @@ COORDINATES = BANDS * ROWS
 LINK = (8, 10)
 #: Nodes on either side of a block in the second comparison.
 MINOR_BLOCK, ALL_BLOCK = 192, 192
+#: Rows of a group for each copy of its lead's regions.
+A_LEAD = 256
 LINKS_A_TASK = 100_000
 
+#: Columns of numbers, as a list could not be aggregated by hashing.
+BAND_COLUMNS = [f"band{k:02d}" for k in range(BANDS)]
+
 _STEP = U(0x9E3779B97F4A7C15)
 
 
@@ -158,10 +169,9 @@ def _sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(row, end - row), node_keys(part.column("text").slice(row, end - row), words, counts), pa.array(n, pa.int64()),
-                    pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), BANDS).cast(pa.list_(pa.int64())),
-                    *(part.column(c).slice(row, end - row) for c in more),
+                    *(pa.array(found[:, k]) for k in range(BANDS)), *(part.column(c).slice(row, end - row) for c in more),
                 ],
-                names=["id", "node", "n", "bands", *more],
+                names=["id", "node", "n", *BAND_COLUMNS, *more],
             )
 
 
@@ -240,69 +250,139 @@ def text_hash(text_col: str) -> Column:
     return F.xxhash64(text_col, F.length(text_col))
 
 
+def _grouped(members: DataFrame, buckets: DataFrame, key: str, total: int) -> DataFrame:
+    """(node, nid, n, rid, lead, size): each node's groups; size is that of the largest bucket that it shares with the lead."""
+    found = hot_join(members, buckets, key, total)
+    return found.groupBy("node", "nid", "n", "rid", "lead").agg(F.max("size").alias("size"))
+
+
+def _buckets(members: DataFrame, key: str, *more: Column) -> DataFrame:
+    """(key, size, lead) of the buckets of several nodes; buckets of the same nodes are one. Sums of numbers only, so they are hashed."""
+    found = members.groupBy(key).agg(
+        F.count("*").alias("size"), F.min("nid").alias("lead"), F.bit_xor("nid").alias("one"), F.bit_xor(F.xxhash64("nid")).alias("two"),
+        F.min("rid").alias("low"), F.max("rid").alias("high"),
+    ).where("size > 1 and low < high")
+    return found.groupBy("size", "one", "two").agg(F.min(key).alias(key), F.min("lead").alias("lead")).select(key, "size", "lead")
+
+
+def _copy(size: str) -> Column:
+    return F.ceil(F.col(size) / A_LEAD).cast("int")
+
+
+def _beside_lead(grouped: DataFrame, regions: DataFrame, rid: DataFrame | None) -> DataFrame:
+    """``grouped`` with a_regions, and the lead's b_node, b_regions and b_rid."""
+    leads = grouped.groupBy("lead").agg(F.max("size").alias("most")).select("lead", F.explode(F.sequence(F.lit(0), _copy("most") - 1)).alias("copy"))
+    own = regions.select(F.xxhash64("node").alias("lead"), F.col("node").alias("b_node"), F.col("regions").alias("b_regions"))
+    if rid is not None:
+        own = own.join(rid.select(F.col("node").alias("b_node"), F.col("rid").alias("b_rid")), "b_node", "left")
+    else:
+        own = own.withColumn("b_rid", F.lit(None).cast("bigint"))
+    own = own.withColumn("b_rid", F.coalesce("b_rid", F.xxhash64("b_node")))
+    near = grouped.withColumn("copy", F.pmod(F.xxhash64("node", F.lit(9)), _copy("size")).cast("int"))
+    near = near.join(regions.select("node", F.col("regions").alias("a_regions")), "node")
+    return near.join(own.join(leads, "lead"), ["lead", "copy"])
+
+
+def _star(grouped: DataFrame, regions: DataFrame, rid: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) between nodes and their leads of other classes."""
+    both = _beside_lead(grouped.where("nid != lead"), regions, rid).where(F.col("rid") != F.col("b_rid"))
+    n, m = F.size("a_regions"), F.size("b_regions")
+    alike = both.where(_near_sizes(n, m)).where(_alike(F.size(F.array_intersect("a_regions", "b_regions")), n, m))
+    return alike.select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
+def _classed(grouped: DataFrame, root: DataFrame) -> DataFrame:
+    """``grouped`` with the nodes' present classes."""
+    new = root.select("node", F.xxhash64("root").alias("new"))
+    return grouped.join(new, "node", "left").withColumn("rid", F.coalesce("new", "rid")).drop("new")
+
+
+def _open(grouped: DataFrame) -> DataFrame:
+    """The rows of groups of three or more in which several classes are left."""
+    left = grouped.groupBy("lead").agg(F.count("*").alias("held"), F.min("rid").alias("low"), F.max("rid").alias("high"), F.max("size").alias("most"))
+    left = left.where("held > 2 and low < high").select("lead", F.explode(F.sequence(F.lit(0), _copy("most") - 1)).alias("copy"))
+    copy = F.pmod(F.xxhash64("node", F.lit(9)), _copy("size")).cast("int")
+    return grouped.withColumn("copy", copy).join(left, ["lead", "copy"], "left_semi").drop("copy")
+
+
+def _prefixes(grouped: DataFrame, regions: DataFrame) -> DataFrame:
+    """(node, nid, n, rid, key): a row for each region of the node's prefix in its group; key stands for lead and region."""
+    both = _beside_lead(grouped, regions, None)
+    others, shared = F.array_except("a_regions", "b_regions"), F.array_intersect("a_regions", "b_regions")
+    n = F.size("a_regions")
+    least = F.ceil(n * LINK[0] / LINK[1]).cast("int")  # what a set of this size shares with one that it is alike
+    first = F.slice(F.concat(F.sort_array(others), F.sort_array(shared)), F.lit(1), n - least + 1)
+    rows = both.select("node", "nid", "n", "rid", "lead", F.explode(first).alias("region"))
+    return rows.select("node", "nid", "n", "rid", F.xxhash64("lead", "region").alias("key")).distinct()
+
+
+def _blocks(left: DataFrame, regions: DataFrame) -> DataFrame:
+    """Links (a, b) within buckets (key, node, rid), by comparison of all pairs of different classes but of the two largest's nodes with their own."""
+    split = left.groupBy("key", "rid").agg(F.count("*").alias("held")).groupBy("key").agg(
+        F.sum("held").alias("size"), F.max(F.struct("held", "rid")).alias("major"), F.sum("held").alias("all")
+    ).select("key", "size", F.col("major.rid").alias("major"), (F.col("all") - F.col("major.held")).alias("minors"))
+    split = cut(split)
+    dealt = hot_join(left.select("key", "node", "rid"), split, "key", split.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    dealt = dealt.withColumns(
+        {"rows": F.ceil(F.col("minors") / MINOR_BLOCK).cast("int"), "columns": F.ceil(F.col("size") / ALL_BLOCK).cast("int"), "root": F.col("rid").cast("string")}
+    )
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n)).cast("int")
+    cell = ["key", "i", "j"]
+    minor = dealt.where("rid != major").withColumns({"i": own("rows"), "minor": F.lit(True)}).withColumn("j", F.explode(upto("columns")))
+    every = dealt.withColumns({"j": own("columns"), "minor": F.lit(False)}).withColumn("i", F.explode(upto("rows")))
+    cells = minor.select(*cell, "node", "root", "minor").unionByName(every.select(*cell, "node", "root", "minor"))
+    return cells.join(regions, "node").groupBy(*cell).applyInPandas(_compare_block, "a binary, b binary")
+
+
 def near_duplicate_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> tuple[DataFrame, DataFrame]:
     """(id, node, n) of every row, with ``hashed`` also its text_hash, and (node, root) of every node with a link."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     sketched = rows.withColumn("text_hash", text_hash("text")) if hashed else rows
-    sketch = cut(sketched.mapInArrow(released(_sketch), f"id {kind}, node binary, n bigint, bands array<bigint>" + ", text_hash bigint" * hashed))
-    found = sketch.drop("bands")
-    nodes = (
-        sketch.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    )
+    columns = "".join(f", {c} bigint" for c in BAND_COLUMNS)
+    sketch = cut(sketched.mapInArrow(released(_sketch), f"id {kind}, node binary, n bigint{columns}" + ", text_hash bigint" * hashed))
+    found = sketch.drop(*BAND_COLUMNS)
+    nodes = sketch.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), *(F.min(c).alias(c) for c in ("n", *BAND_COLUMNS)))
     # cut before they are exploded: a row for each band would be twenty times as many
-    nodes = cut(nodes)
-    held = nodes.select("node", "id", "n", F.explode("bands").alias("hash"))
-    buckets = held.groupBy("hash").agg(
-        F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("lead"),
-        *(F.bit_xor(F.xxhash64("node", F.lit(s))).alias(f"xor{s}") for s in (1, 2)),
-    ).where("size > 1")
-    # buckets of the same nodes are one
-    buckets = cut(
-        buckets.groupBy("size", "xor1", "xor2").agg(F.min(F.struct("hash", "lead")).alias("one"))
-        .select("one.hash", "size", F.col("one.lead.node").alias("lead"), F.col("one.lead.n").alias("lead_n"))
-    )
-    members = cut(held.join(buckets, "hash"))
-
-    wanted = members.groupBy("node").agg(F.first("id").alias("id")).select("node", "id")
+    nid = F.xxhash64("node")
+    nodes = cut(nodes.withColumns({"nid": nid, "rid": nid}))
+    held = nodes.select("node", "nid", "n", "rid", F.explode(F.array(*BAND_COLUMNS)).alias("key"))
+    buckets = cut(_buckets(held, "key"))
+    grouped = cut(_grouped(held, buckets, "key", nodes.count() * BANDS))
+    forget(buckets)
+
+    wanted = grouped.select("node").distinct().join(nodes.select("node", "id"), "node")
     ids = wanted.select(F.col("id").alias("wanted")).distinct()
     texts = rows.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
     regions = texts.mapInArrow(released(_regions), "node binary, regions array<bigint>").join(wanted.select("node"), "node", "left_semi")
     regions = cut(regions.groupBy("node").agg(F.first("regions").alias("regions")))
+    forget(nodes)
 
-    pairs = members.where((F.col("node") != F.col("lead")) & _near_sizes(F.col("n"), F.col("lead_n")))
-    pairs = pairs.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    left, right = (regions.select(F.col("node").alias(c), F.col("regions").alias(f"{c}_regions")) for c in "ab")
-    same = F.size(F.array_intersect("a_regions", "b_regions"))
-    links = cut(
-        pairs.join(left, "a").join(right, "b").where(_alike(same, F.size("a_regions"), F.size("b_regions"))).select("a", "b")
-    )
+    links = cut(_star(grouped, regions))
     root = classes(links)
-
-    # buckets of three or more in which several classes are left
-    known = cut(members.where("size > 2").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    # minor: outside the bucket's largest class, so that few are, whichever class its smallest node is in
-    split = (
-        known.groupBy("hash", "root").agg(F.count("*").alias("held"))
-        .groupBy("hash").agg(F.count("*").alias("classes"), F.max(F.struct("held", "root")).alias("major"))
-        .where("classes > 1").select("hash", F.col("major.root").alias("major_root"))
-    )
-    left_over = known.select("hash", "node", "root").join(split, "hash")
-    left_over = cut(left_over.select("hash", "node", "root", (F.col("root") != F.col("major_root")).alias("is_minor")))
-    if left_over.isEmpty():
-        return found, root
-    blocks = left_over.groupBy("hash").agg(
-        F.ceil(F.sum(F.col("is_minor").cast("int")) / MINOR_BLOCK).cast("int").alias("minors"), F.ceil(F.count("*") / ALL_BLOCK).cast("int").alias("alls")
-    )
-    dealt = left_over.join(cut(blocks), "hash").select("hash", "node", "root", "is_minor", "minors", "alls")
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    own = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n)).cast("int")
-    cell = ["hash", "i", "j"]
-    minor = dealt.where("is_minor").withColumns({"i": own("minors"), "minor": F.lit(True)}).withColumn("j", F.explode(upto("alls")))
-    every = dealt.withColumns({"j": own("alls"), "minor": F.lit(False)}).withColumn("i", F.explode(upto("minors")))
-    cells = minor.select(*cell, "node", "root", "minor").unionByName(every.select(*cell, "node", "root", "minor"))
-    more = cells.join(regions, "node").groupBy(*cell).applyInPandas(_compare_block, "a binary, b binary")
-    return found, classes(links.unionByName(more))
+    # groups in which several classes are left: pairs by their prefixes
+    left = cut(_open(_classed(grouped, root)))
+    forget(grouped)
+    made = [regions, left]
+    if not left.isEmpty():
+        prefixes = cut(_prefixes(left, regions))
+        buckets = cut(_buckets(prefixes, "key"))
+        again = cut(hot_join(prefixes, buckets, "key", prefixes.count()))
+        made += [prefixes, buckets, again]
+        pairs = again.groupBy("node", "nid", "n", "rid", "lead").agg(F.max("size").alias("size"))
+        links = cut(links.unionByName(_star(pairs, regions, left.select("node", "rid").distinct())))
+        root = classes(links)
+        now = _classed(again.where("size > 2"), root)
+        still = now.groupBy("key").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.first("size").alias("size")).where("low < high")
+        blocks = cut(hot_join(now.drop("size", "lead"), still.select("key", "size"), "key", prefixes.count()))
+        made.append(blocks)
+        if not blocks.isEmpty():
+            links = cut(links.unionByName(_blocks(blocks, regions)))
+            root = classes(links)
+    for table in made:
+        forget(table)
+    return found, root
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
