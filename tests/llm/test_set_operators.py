@@ -126,17 +126,27 @@ def template_rows(n=400):
     return rows + [(3 * n + k, " ".join(template[k:] + ["end"])) for k in range(3)]
 
 
-def test_a_template_s_many_classes_are_told_apart_without_all_pairs(spark, monkeypatch):
-    rows = template_rows()
-    compared = []
-    monkeypatch.setattr(near_dedup, "_blocks", lambda left, regions: compared.append(left.groupBy("key").count().agg(F.max("count")).first()[0]) or left.select("node", "node").toDF("a", "b").limit(0))
+@pytest.mark.parametrize("rows", [template_rows(), None])
+def test_groups_of_many_classes_lose_no_link(spark, monkeypatch, rows):
+    if rows is None:  # a dense group: most pairs are next to the least similarity
+        rng, base = np.random.default_rng(9), [f"t{k}" for k in range(100)]
+        rows = []
+        for k in range(150):
+            own = list(base)
+            for i in rng.choice(20, 4, replace=False) * 5:
+                own[i] = f"x{rng.integers(10**9)}"
+            rows.append((k, " ".join(own)))
+    compared, blocks = [], near_dedup._blocks
+    monkeypatch.setattr(near_dedup, "DIRECT", 200)
+    monkeypatch.setattr(common, "LEAST_HOT", 20)
+    monkeypatch.setattr(near_dedup, "A_LEAD", 16)
+    monkeypatch.setattr(near_dedup, "_blocks", lambda left, regions: compared.append(near_dedup._pairs(left, "key").agg(F.sum("cost")).first()[0]) or blocks(left, regions))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
-    # of 423 texts that share bands, hardly any pair is left for the comparison by blocks
-    assert not compared or compared[0] < 10
-    monkeypatch.undo()
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
-    assert got == dict(zip([d for d, _ in rows], naive_classes(rows), strict=True))
+    want = naive_classes(rows)
+    assert got == dict(zip([d for d, _ in rows], want, strict=True)) and len(set(want)) > 1
+    if len(rows) > 400:  # of nearly 170,000 pairs that share bands, hardly any is left for the blocks
+        assert sum(c or 0 for c in compared) < 5000
 
 
 def test_long_texts_go_in_pieces(spark):

@@ -12,11 +12,12 @@ Plan: texts with equal words become one node first (pre-aggregated, so that copi
 Nodes that share a band of the signature share a bucket, and the buckets of one lead (the node of the least hash) are one group. Each node
 is compared with its lead (a star, not all pairs), exactly, on the shingle multisets; the links are contracted to classes.
 
-In a group that still holds several classes (texts of one template, say) its other pairs are found by an exact prefix filter: two sets
-that are 0.8 alike share one of their first fifth and one regions in any fixed order. The order puts the lead's regions last,
-so what all of the group have in common finds no one. Groups of (lead, region) get a lead of their own and a star; in those of
-which several classes are left still, nodes outside the largest class are compared, in blocks of bounded size,
-with all nodes of other classes. So no link between bucket partners is lost.
+In a group that still holds several classes, the nodes outside its largest class are compared with all nodes of other classes, in
+blocks of bounded size. Where those are more than ``DIRECT`` pairs, ``LEADS`` more leads are tried first, which contracts dense
+groups; then an exact prefix filter cuts sparse ones (texts of one template, say) apart: two sets that are 0.8 alike share one of
+their first fifth and one regions in any fixed order. The order puts the lead's regions last, so what all of the group have in
+common finds no one; each (lead, region) is a bucket of its own, and a group is compared by these buckets if they have fewer pairs
+than the group. So no link between bucket partners is lost.
 
 A hot group is no hot task: its rows are joined to copies of the lead's regions, one for every ``A_LEAD`` rows.
 
@@ -45,8 +46,8 @@ COORDINATES = BANDS * ROWS
 LINK = (8, 10)
 #: Nodes on either side of a block in the second comparison.
 MINOR_BLOCK, ALL_BLOCK = 192, 192
-#: Rows of a group for each copy of its lead's regions.
-A_LEAD = 256
+#: Rows of a group for each copy of its lead's regions; pairs of a group that are compared at once; further leads of larger groups.
+A_LEAD, DIRECT, LEADS = 256, 1 << 14, 6
 LINKS_A_TASK = 100_000
 
 #: Columns of numbers, as a list could not be aggregated by hashing.
@@ -305,15 +306,52 @@ def _open(grouped: DataFrame) -> DataFrame:
     return grouped.withColumn("copy", copy).join(left, ["lead", "copy"], "left_semi").drop("copy")
 
 
+def _pairs(rows: DataFrame, key: str) -> DataFrame:
+    """(key, size, cost) of groups of several classes: their rows, and how many pairs of nodes outside the largest class and any there are."""
+    held = rows.groupBy(key, "rid").agg(F.count("*").alias("held"))
+    found = held.groupBy(key).agg(F.sum("held").alias("size"), F.max("held").alias("major")).where("size > major")
+    return found.select(key, "size", (F.col("size") * (F.col("size") - F.col("major"))).alias("cost"))
+
+
+def _more_leads(left: DataFrame, total: int) -> DataFrame:
+    """(node, nid, n, rid, lead, size): nodes of large groups beside other nodes of theirs, of other classes."""
+    marks = [-(1 << 63) + (2 * k + 1) * (1 << 63) // LEADS for k in range(LEADS)]
+    extra = left.groupBy("lead").agg(F.count("*").alias("size"), *(F.min(F.col("nid").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(marks)))
+    leads = F.array(*(F.col(f"m{k}").bitwiseXOR(F.lit(m)) for k, m in enumerate(marks)))
+    extra = extra.select("lead", "size", F.explode(F.array_distinct(leads)).alias("extra"))
+    extra = extra.join(left.select(F.col("nid").alias("extra"), F.col("rid").alias("extra_rid")).distinct(), "extra")
+    extra = cut(extra.groupBy("lead", "size").agg(F.collect_list(F.struct("extra", "extra_rid")).alias("extras")))
+    near = hot_join(left.drop("size"), extra, "lead", total).withColumn("e", F.explode("extras")).where(F.col("rid") != F.col("e.extra_rid"))
+    return near.groupBy("node", "nid", "n", "rid", F.col("e.extra").alias("lead")).agg(F.max("size").alias("size"))
+
+
 def _prefixes(grouped: DataFrame, regions: DataFrame) -> DataFrame:
-    """(node, nid, n, rid, key): a row for each region of the node's prefix in its group; key stands for lead and region."""
+    """(lead, node, rid, key): a row for each region of the node's prefix in its group; key stands for lead and region."""
     both = _beside_lead(grouped, regions, None)
     others, shared = F.array_except("a_regions", "b_regions"), F.array_intersect("a_regions", "b_regions")
     n = F.size("a_regions")
     least = F.ceil(n * LINK[0] / LINK[1]).cast("int")  # what a set of this size shares with one that it is alike
     first = F.slice(F.concat(F.sort_array(others), F.sort_array(shared)), F.lit(1), n - least + 1)
-    rows = both.select("node", "nid", "n", "rid", "lead", F.explode(first).alias("region"))
-    return rows.select("node", "nid", "n", "rid", F.xxhash64("lead", "region").alias("key")).distinct()
+    rows = both.select("node", "rid", "lead", F.explode(first).alias("region"))
+    return rows.select("lead", "node", "rid", F.xxhash64("lead", "region").alias("key")).distinct()
+
+
+def _by_prefixes(left: DataFrame, costs: DataFrame, regions: DataFrame, total: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, node, rid) of large groups: by their prefixes where these have fewer pairs, else whole. And what was cut for it."""
+    large = left.drop("size", "cost")
+    large = hot_join(large, costs.withColumn("most", F.col("size")), "lead", total)
+    prefixes = cut(_prefixes(large.select("node", "rid", "nid", "lead", F.col("most").alias("size")), regions))
+    keys = cut(_pairs(prefixes, "key"))
+    n = prefixes.count()
+    found = cut(hot_join(prefixes, keys, "key", n))
+    mine = found.select("key", "lead", (F.col("cost") / F.col("size")).alias("share")).groupBy("lead").agg(F.sum("share").alias("found"))
+    # groups without any candidate have no row in ``mine``: nothing of them is left to compare
+    whole = costs.join(mine.where("found is not null"), "lead").where("found > cost").select("lead", "size")
+    sparse = costs.join(whole, "lead", "left_anti").select("lead", "size")
+    by_key = hot_join(found.select("lead", "key", "node", "rid"), sparse, "lead", n)
+    by_lead = hot_join(left.drop("size", "cost"), whole, "lead", total)
+    out = cut(by_key.select("key", "node", "rid").unionByName(by_lead.select(F.col("lead").alias("key"), "node", "rid")))
+    return out, [prefixes, keys, found]
 
 
 def _blocks(left: DataFrame, regions: DataFrame) -> DataFrame:
@@ -322,7 +360,7 @@ def _blocks(left: DataFrame, regions: DataFrame) -> DataFrame:
         F.sum("held").alias("size"), F.max(F.struct("held", "rid")).alias("major"), F.sum("held").alias("all")
     ).select("key", "size", F.col("major.rid").alias("major"), (F.col("all") - F.col("major.held")).alias("minors"))
     split = cut(split)
-    dealt = hot_join(left.select("key", "node", "rid"), split, "key", split.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    dealt = cut(hot_join(left.select("key", "node", "rid"), split, "key", split.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]))
     dealt = dealt.withColumns(
         {"rows": F.ceil(F.col("minors") / MINOR_BLOCK).cast("int"), "columns": F.ceil(F.col("size") / ALL_BLOCK).cast("int"), "root": F.col("rid").cast("string")}
     )
@@ -361,25 +399,30 @@ def near_duplicate_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     links = cut(_star(grouped, regions))
     root = classes(links)
-    # groups in which several classes are left: pairs by their prefixes
+    # groups in which several classes are left
     left = cut(_open(_classed(grouped, root)))
     forget(grouped)
     made = [regions, left]
-    if not left.isEmpty():
-        prefixes = cut(_prefixes(left, regions))
-        buckets = cut(_buckets(prefixes, "key"))
-        again = cut(hot_join(prefixes, buckets, "key", prefixes.count()))
-        made += [prefixes, buckets, again]
-        pairs = again.groupBy("node", "nid", "n", "rid", "lead").agg(F.max("size").alias("size"))
-        links = cut(links.unionByName(_star(pairs, regions, left.select("node", "rid").distinct())))
+    total = left.count()
+    costs = cut(_pairs(left, "lead"))
+    if not costs.where(F.col("cost") > DIRECT).isEmpty():
+        large = hot_join(left.drop("size"), costs.where(F.col("cost") > DIRECT), "lead", total)
+        links = cut(links.unionByName(_star(_more_leads(large, total), regions, left.select("node", "rid").distinct())))
+        root = classes(links)
+        made += [left := cut(_open(_classed(left, root))), costs]
+        costs = cut(_pairs(left, "lead"))
+    made.append(costs)
+    small, large = costs.where(F.col("cost") <= DIRECT), costs.where(F.col("cost") > DIRECT)
+    blocks = [cut(hot_join(left.drop("size"), small, "lead", total).select(F.col("lead").alias("key"), "node", "rid"))]
+    if not large.isEmpty():
+        more, used = _by_prefixes(left, large, regions, total)
+        blocks, made = [*blocks, more], [*made, *used]
+    made += blocks
+    blocks = [b for b in blocks if not b.isEmpty()]
+    for b in blocks:
+        links = links.unionByName(_blocks(b, regions))
+    if blocks:
         root = classes(links)
-        now = _classed(again.where("size > 2"), root)
-        still = now.groupBy("key").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.first("size").alias("size")).where("low < high")
-        blocks = cut(hot_join(now.drop("size", "lead"), still.select("key", "size"), "key", prefixes.count()))
-        made.append(blocks)
-        if not blocks.isEmpty():
-            links = cut(links.unionByName(_blocks(blocks, regions)))
-            root = classes(links)
     for table in made:
         forget(table)
     return found, root
