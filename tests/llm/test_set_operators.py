@@ -176,12 +176,15 @@ def test_files_of_forgotten_tables_are_deleted(spark):
     common.forget(spark.range(3))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("bound", [10, 100_000])
+def test_components(spark, monkeypatch, bound):
+    monkeypatch.setattr(near_dedup, "LINKS_A_TASK", bound)
     rng = np.random.default_rng(3)
     names = [bytes(x) for x in rng.integers(0, 256, (60, 16), dtype=np.uint8)]
     links = [(names[i], names[i + 1]) for i in range(39)] + [(names[50], names[k]) for k in range(51, 60)]
     got = {bytes(r["node"]): bytes(r["root"]) for r in near_dedup.classes(spark.createDataFrame(links, "a binary, b binary")).collect()}
     assert {got[x] for x in names[:40]} == {min(names[:40])} and {got[x] for x in names[50:]} == {min(names[50:])} and len(got) == 50
+    assert near_dedup.classes(spark.createDataFrame([], "a binary, b binary")).count() == 0
 
 
 def test_words_are_hashed_alike_wherever_they_stand():

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, cut, forget, hot_join, mix, released, row_words
+from .common import U, cut, forget, hot_join, mix, released, row_words, to_batch
 
 SHINGLE = 5
 #: At a similarity of 0.8 two texts share at least one of 20 bands of 5 coordinates with probability 0.9996.
@@ -48,6 +48,7 @@ LINK = (8, 10)
 MINOR_BLOCK, ALL_BLOCK = 192, 192
 #: Rows of a group for each copy of its lead's regions; pairs of a group that are compared at once; further leads of larger groups.
 A_LEAD, DIRECT, LEADS = 256, 1 << 14, 6
+#: Links of a task; so few are contracted by one task in one step.
 LINKS_A_TASK = 100_000
 
 #: Columns of numbers, as a list could not be aggregated by hashing.
@@ -189,30 +190,62 @@ def _regions(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number of each number's component; links a - b of the numbers below n."""
+    low = np.arange(n)
+    while True:
+        least = np.minimum(low[a], low[b])
+        new = low.copy()
+        for side in (low[a], low[b], a, b):
+            np.minimum.at(new, side, least)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def _contract(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b), at most LINKS_A_TASK, to (node, root)."""
+    links = [(p.column(0).to_pylist(), p.column(1).to_pylist()) for p in parts]
+    a, b = ([x for one in links for x in one[k]] for k in (0, 1))
+    names = sorted({*a, *b})
+    number = {x: k for k, x in enumerate(names)}
+    low = components(np.array([number[x] for x in a], np.int64), np.array([number[x] for x in b], np.int64), len(names))
+    if names:
+        yield to_batch(list(zip(names, (names[k] for k in low.tolist()), strict=True)), pa.schema([("node", pa.binary()), ("root", pa.binary())]))
+
+
 def classes(links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (a, b): a row (node, root) for each node of a link.
 
     Nodes are hashes, so their order is random: each round every node moves to its smallest neighbour,
-    and the edges between moved nodes shrink geometrically. Each round is cut, and its number of edges counted.
+    and the edges between moved nodes shrink geometrically, until one task contracts what is left. Each round is cut.
     """
     edges = cut(links.where("a != b").distinct())
     label = None
-    while count := edges.count():
-        few = max(1, -(-count // LINKS_A_TASK))  # tasks, in proportion to the links
-        edges = edges.coalesce(few)
+    while (count := edges.count()) > LINKS_A_TASK:
+        few = -(-count // LINKS_A_TASK)  # tasks, in proportion to the links
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
         up = cut(up.coalesce(few))
-        if label is None:
-            label, first = up.withColumnRenamed("up", "root"), few
-        else:
-            moved = up.select(F.col("node").alias("root"), "up")
-            label = label.join(moved, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-        label = cut(label.coalesce(max(few, first)))
+        label, old = _moved(label, up.withColumnRenamed("up", "root")), label
+        label = cut(label)
         left, right = (up.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up")) for c in "ab")
         moved = edges.join(left, "a").join(right, "b").select(F.col("a_up").alias("a"), F.col("b_up").alias("b"))
-        edges = cut(moved.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().coalesce(few))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if label is None else label
+        before, edges = edges, cut(moved.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().coalesce(few))
+        for table in (before, up, *([old] if old else [])):
+            forget(table)
+    last = edges.coalesce(1).mapInArrow(_contract, "node binary, root binary")
+    found = cut(last if label is None else _moved(label, cut(last)))
+    forget(edges)
+    return found
+
+
+def _moved(label: DataFrame | None, up: DataFrame) -> DataFrame:
+    """(node, root) of ``label``, the roots moved on by (node, root) of ``up``."""
+    if label is None:
+        return up
+    return label.join(up.toDF("root", "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
 
 
 def _alike(same, n, m):
