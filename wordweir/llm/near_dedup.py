@@ -47,7 +47,7 @@ LINK = (8, 10)
 #: Nodes on either side of a block in the second comparison.
 MINOR_BLOCK, ALL_BLOCK = 192, 192
 #: Rows of a group for each copy of its lead's regions; pairs of a group that are compared at once; further leads of larger groups.
-A_LEAD, DIRECT, LEADS = 256, 1 << 14, 6
+A_LEAD, DIRECT, LEADS = 256, 1 << 22, 6
 #: Links of a task; so few are contracted by one task in one step.
 LINKS_A_TASK = 100_000
 
