@@ -285,6 +285,28 @@ def test_starting_over_changes_nothing(machine, texts, monkeypatch):
     assert [machine.count(t) for t in some] == expected
 
 
+def test_states_of_one_long_text_are_bounded(machine, library, monkeypatch):
+    rng = np.random.default_rng(3)
+    text = "".join(map(chr, rng.integers(97, 123, 60_000))) + " " + "".join(map(chr, rng.integers(0x3040, 0x30FF, 20_000)))
+    monkeypatch.setattr(token_counts, "MAX_STATES", 500)
+    most, met = 0, token_counts.Machine.state_map
+
+    def watched(self, chunk):
+        nonlocal most
+        out = met(self, chunk)
+        most = max(most, len(self.states))
+        return out
+
+    monkeypatch.setattr(token_counts.Machine, "state_map", watched)
+    assert machine.count(text, 2000) == len(library.encode(text)) and most < 500 + 2 * 2000
+
+
+def test_token_query_is_the_library(spark, sf, texts, library):
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in queries.op10_token_counts(spark, sf).collect()}
+    n = {d: len(library.encode(t or "")) for d, t in texts.items()}
+    assert got == {d: (len((t or "").encode()), n[d], n[d] > 4096) for d, t in texts.items()}
+
+
 def test_token_count_query_edges(spark, edges, library):
     got = token_counts.count_tokens(edges, tokenizer_path("piece_bpe_32k.model")).collect()
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got), key=str) == sorted(
@@ -331,15 +353,26 @@ def test_pieces_forgotten_are_found_again(monkeypatch, texts):
     assert all(ids.of(t) == ids.whole(t) for t in list(texts.values())[:20])
 
 
-def test_query_digests(spark, sf):
-    got = queries.op9_packing(spark, sf).where("doc_id = 3").orderBy("start").collect()
-    text = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id = 3").first()["text"]
-    want = naive_pieces(Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), text)
-    assert [(r["start"], r["length"], r["ids_crc32"]) for r in got] == [(s, n, zlib.crc32(b)) for s, n, b, _ in want]
+def test_query_digests(spark, sf, texts):
+    tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    want = sorted((d, s, n, zlib.crc32(b), total) for d, t in texts.items() for s, n, b, total in naive_pieces(tokenizer, t))
+    got = queries.op9_packing(spark, sf).collect()
+    assert sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == want
+    assert len({r["sequence_id"] for r in got}) == len(got) and {r["offset"] for r in got} == {0}
     clean = queries.op1_decontaminate(spark, sf).where("n_items = 0").first()
     assert clean["items_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_buckets_hold_sequences_of_equal_length(spark, edges, tmp_path):
+    pieces = packing.pack(edges, tokenizer_path("byte_bpe_50k.json"))
+    packing.write_buckets(pieces, f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.count() == pieces.count() and back.where("length != shiftleft(1, bucket)").count() == 0
+    for batch in packing.bucket_batches(spark, f"{tmp_path}/out", 3):
+        assert len({r["length"] for r in batch}) == 1 and len(batch) <= 3 and len({len(r["ids"]) for r in batch}) == 1
+    assert sum(len(b) for b in packing.bucket_batches(spark, f"{tmp_path}/out", 3)) == pieces.count()
+
+
 def test_long_texts_are_packed_in_parts(monkeypatch, texts):
     monkeypatch.setattr(packing, "PART_CHARS", 7)
     ids = packing.Ids(tokenizer_path("byte_bpe_50k.json"))

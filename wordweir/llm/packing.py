@@ -2,7 +2,8 @@
 
 A document's token ids (with the end-of-document id) are cut into as many pieces of the full length as fit, then into
 the binary parts of the rest, largest first. Every piece is a sequence of its own; its bucket is the logarithm
-of its length, and batches are drawn from one bucket, so all rows of a batch have equal length.
+of its length. ``write_buckets`` brings equal lengths together, one folder for each bucket without a shuffle, and ``bucket_batches`` draws
+batches from one bucket at a time, so all rows of a batch have equal length.
 
 Tokens come from a ``tokenizers`` file (byte-level BPE). Such a tokenizer works on the pieces that its pre-tokenizing
 pattern cuts; ids of recent pieces are held in each worker. Texts in which the tokenizer may see something else
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -129,3 +130,21 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
         F.col("id").alias(id_col), "start", "length", "ids", "doc_tokens", "bucket",
         F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"),
     )
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """One folder for each bucket; within it, files by input partition."""
+    pieces.write.partitionBy("bucket").parquet(path)
+
+
+def bucket_batches(spark: SparkSession, path: str, rows: int) -> Iterator[list[Row]]:
+    """Batches of at most ``rows`` sequences of one length, bucket by bucket; one partition at a time is in memory."""
+    for bucket in sorted(r["bucket"] for r in spark.read.parquet(path).select("bucket").distinct().collect()):
+        batch = []
+        for row in spark.read.parquet(path).where(F.col("bucket") == bucket).toLocalIterator():
+            batch.append(row)
+            if len(batch) == rows:
+                yield batch
+                batch = []
+        if batch:
+            yield batch

@@ -4,11 +4,13 @@ A BPE encoding has this property: its prefix encodings are encodings, and the la
 ends it and stands well after the piece before (their joint encoding is the two). So reading left to right needs, for
 every place where a piece may still be open, only the place in the piece trie, which of the open pieces stand well there, and the
 count there relative to the count here. That is a finite state; a transition emits the change in the number of
-tokens (negative where pieces join). States are built when first met, interned, and start over beyond a bound.
+tokens (negative where pieces join). States are built when first met, interned, and start over beyond a bound, which is looked at
+before every chunk, so that a long text of ever new characters is bounded too.
 
 Long texts are cut into chunks. A chunk's state map is the function from its first state to its last state and the tokens emitted;
 it is constant after the first word start, where all states meet, so it is held as the head up to there and a
-constant. Maps compose associatively and are combined pairwise (a parallel prefix scan's up-sweep).
+constant. Maps compose associatively and are combined pairwise, in the tree of a parallel prefix scan's up-sweep, though by the one task that
+has the text.
 
 Only models that this fits are taken: sentencepiece BPE, with byte fallback, identity normalisation and the
 space mark inside no piece after other characters.
@@ -96,6 +98,9 @@ class Machine:
         self.clear()
 
     def clear(self) -> None:
+        # states that maps still hold stay valid: they only forget where they lead to, and with that each other
+        for state in getattr(self, "states", {}).values():
+            state.clear()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.kinds: dict[tuple[int, str], object] = {}
         self.states: dict[tuple, State] = {}
@@ -180,7 +185,12 @@ class Machine:
         places = [(node, kind, n - tokens) for node, kind, n in still]
         return self.intern([*places, (self.trie, piece, 0)]), tokens
 
+    def bound(self) -> None:
+        if len(self.states) > MAX_STATES:
+            self.clear()
+
     def state_map(self, chunk: str) -> StateMap:
+        self.bound()
         for i in range(1, len(chunk)):
             if chunk[i] in " ▁" and chunk[i - 1] not in " ▁":
                 state, n = run(self.start, chunk[i + 1 :])
@@ -190,9 +200,8 @@ class Machine:
     def count(self, text: str | None, chunk: int = CHUNK) -> int:
         if not text:
             return 0
-        if len(self.states) > MAX_STATES:
-            self.clear()
         if len(text) <= chunk:
+            self.bound()
             return self.start_tokens + run(self.start, text)[1]
         maps = [self.state_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]
         while len(maps) > 1:
