@@ -471,9 +471,11 @@ def test_models_are_brute_force(spark):
 def test_warc_round_trip(spark, tmp_path):
     rows = [(3, "http://a/\r\n%", "same É"), (1, None, "same É"), (2, "u", None), (5, "u", ""), (4, "v", "x" * 300_000), (None, "w", "same É"), (6, "v", "\x00\r\n\r\n"), (7, "z", "same É"), (1, "q", "same É")]
     pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id bigint, url string, html string, digest string")
-    archives = warc.write_archives(pages.coalesce(1), archive_bytes=600)
-    assert archives.count() > 1
-    read = warc.read_archives(archives).collect()
+    archives = warc.write_archives(pages.coalesce(1), f"{tmp_path}/warc", archive_bytes=600)
+    assert archives.count() > 1 and archives.agg(F.sum("records")).first()[0] == len(rows)
+    (tmp_path / "warc" / "part-000000-99999-000000.warc.gz").write_bytes(warc.record("1", "u", b"of a lost attempt", None, warc.now()))
+    files = warc.archive_files(spark, archives)
+    read = warc.read_archives(files).collect()
     assert len(read) == len(rows)
     for r in read:
         page = int(r["record_id"]) if r["record_id"] else None
@@ -485,16 +487,28 @@ def test_warc_round_trip(spark, tmp_path):
             assert r["record_type"] == "response" and r["refers_to"] is None and bytes(r["payload"]) == body
         else:
             assert r["record_type"] == "revisit" and int(r["refers_to"]) == first and r["payload"] is None
-    warc.save_archives(archives, f"{tmp_path}/warc")
-    files = spark.read.format("binaryFile").load(f"{tmp_path}/warc").select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
-    assert sorted(map(str, warc.read_archives(files).collect())) == sorted(map(str, read))
     import gzip
 
-    assert all(gzip.decompress(bytes(r["content"])).startswith(b"WARC/1.1\r\n") for r in files.collect())
+    for r in archives.collect():
+        raw = gzip.decompress(open(r["archive"].removeprefix("file:"), "rb").read())
+        assert raw.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and raw.count(b"\r\nWARC-Date: 20") == r["records"] + 1
+    assert not list((tmp_path / "warc").glob(".*.gz"))
+
+
+def test_pages_that_share_a_payload_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    rows = [(k, "u", None if k % 2 else "") for k in range(40)] + [(100 + k, "u", f"body {k % 3}") for k in range(6)] + [(200, "u", "alone")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    read = warc.read_archives(warc.archive_files(spark, warc.write_archives(pages))).collect()
+    got = sorted((int(r["record_id"]), r["record_type"], r["refers_to"] and int(r["refers_to"])) for r in read)
+    first = {}
+    for i, _, h in rows:
+        first.setdefault(h or "", i)
+    assert got == [(i, "response", None) if first[h or ""] == i else (i, "revisit", first[h or ""]) for i, _, h in rows]
 
 
 def test_damaged_archives_are_refused():
-    good = warc.record("1", "u", b"payload", None)
+    good = warc.record("1", "u", b"payload", None, warc.now())
     assert [warc.parse(m)["payload"] for m in warc.members(good + good)] == [b"payload"] * 2
     with pytest.raises(warc.WarcError):
         list(warc.members(good[:-9]))
@@ -505,7 +519,7 @@ def test_damaged_archives_are_refused():
 
 
 def test_warc_of_nothing(spark):
-    assert warc.read_archives(warc.write_archives(spark.createDataFrame([], "page_id bigint, url string, html string"))).count() == 0
+    assert warc.read_archives(warc.archive_files(spark, warc.write_archives(spark.createDataFrame([], "page_id bigint, url string, html string")))).count() == 0
 
 
 # the pipeline

@@ -63,16 +63,16 @@ HOT = 10_000
 LEAST_HOT = 1000
 
 
-def hot_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with a table (cut) of one row a key, whose ``size`` is the key's number of rows; ``total`` is their sum.
+def hot_join(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of ``rows`` with a table (cut) of one row a key, whose ``size`` is the key's number of rows; ``total`` is their sum.
 
     Hot keys (at most HOT) are broadcast, so that none of their rows is shuffled; the others are joined by a shuffle.
     """
     least = max(LEAST_HOT, total // HOT)
     if table.where(F.col("size") > least).isEmpty():
-        return rows.join(table, key)
+        return rows.join(table, key, how)
     hot = F.broadcast(table.where(F.col("size") > least))
-    cold = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("size") <= least), key)
+    cold = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("size") <= least), key, how)
     return rows.join(hot, key).unionByName(cold)
 
 

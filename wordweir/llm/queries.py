@@ -72,7 +72,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    read = warc.read_archives(warc.write_archives(pages))
+    read = warc.read_archives(warc.archive_files(spark, warc.write_archives(pages)))
     kind = pages.schema["page_id"].dataType
     return read.select(
         F.expr("nullif(record_id, '')").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")

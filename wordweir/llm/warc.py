@@ -4,9 +4,9 @@ The reader decompresses an archive incrementally, member by member, frames each
 verifies its block and payload digests. Pages with equal payloads become one response record, of the
 smallest page id, and revisit records that refer to it and keep its HTTP header (so also its length), not the payload.
 
-Archives are rows (archive, content); each holds records up to about ``ARCHIVE_BYTES``. Kept that way they go to any
-store that Spark writes; ``save_archives`` writes them as files under a mounted folder, and files read by
-Spark's ``binaryFile`` source (renamed to the same two columns) can be read back by ``read_archives``.
+Archives are ``.warc.gz`` files in one folder, each a warcinfo record and records up to about ``ARCHIVE_BYTES``. Tasks write them
+themselves, to any store that pyarrow opens by its address (mounted folders, HDFS, S3, GCS). Names tell partition and attempt; the
+table of what was written (a row for each archive) is kept by Spark, so files of lost or repeated attempts are never read.
 
 Defined cases: a null payload is empty; of pages with equal payloads and the smallest id, repeated rows are responses
 each; pages without an id are responses; a null url gives a record without a target; a damaged or cut record raises.
@@ -16,22 +16,26 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
+import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, to_batch
+from .common import checkpoint_dir, cut, hot_join, to_batch
 
 ARCHIVE_BYTES, STEP = 4 << 20, 64 << 10
-DATE = "2020-01-01T00:00:00Z"
+SOFTWARE = "wordweir"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:page:"
 
+ARCHIVES = "archive string, part bigint, attempt bigint, records bigint, bytes bigint"
+_ARCHIVES = pa.schema([("archive", pa.string()), *((n, pa.int64()) for n in ("part", "attempt", "records", "bytes"))])
 RECORDS = (
     "archive string, record_id string, record_type string, target string, refers_to string, "
     "payload_bytes bigint, payload_digest string, payload binary"
@@ -50,22 +54,40 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: str, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
+def now() -> str:
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def _pressed(head: list[tuple[str, str]], block: bytes) -> bytes:
+    raw = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [*head, ("Content-Length", str(len(block)))]) + "\r\n"
+    squeeze = zlib.compressobj(3, zlib.DEFLATED, 31)
+    return squeeze.compress(raw.encode("utf-8", "replace") + block + b"\r\n\r\n") + squeeze.flush()
+
+
+def info(name: str, date: str) -> bytes:
+    """The record that an archive begins with."""
+    block = f"software: {SOFTWARE}\r\nformat: WARC File Format 1.1\r\n".encode()
+    head = [
+        ("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"), ("WARC-Date", date),
+        ("WARC-Filename", name), ("Content-Type", "application/warc-fields"), ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"),
+    ]
+    return _pressed(head, block)
+
+
+def record(page_id: str, url: str | None, payload: bytes, refers_to: str | None, date: str) -> bytes:
     """One compressed record."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     head = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{URN}{page_id}>"), ("WARC-Date", DATE),
+        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{URN}{page_id}>"), ("WARC-Date", date),
         ("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha1:{sha1_base32(payload)}"),
-        ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"), ("Content-Length", str(len(block))),
+        ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"),
     ]
     if url is not None:
         head.append(("WARC-Target-URI", url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")))
     if refers_to is not None:
         head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{URN}{refers_to}>")]
-    raw = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n"
-    squeeze = zlib.compressobj(3, zlib.DEFLATED, 31)
-    return squeeze.compress(raw.encode("utf-8", "replace") + block + b"\r\n\r\n") + squeeze.flush()
+    return _pressed(head, block)
 
 
 def members(content: bytes) -> Iterator[bytes]:
@@ -86,8 +108,8 @@ def members(content: bytes) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def parse(member: bytes) -> dict:
-    """Headers and payload of a record, its length and digests verified."""
+def parse(member: bytes) -> dict | None:
+    """Headers and payload of a record, its length and digests verified; None for a warcinfo record."""
     head, gap, rest = member.partition(b"\r\n\r\n")
     lines = head.decode("utf-8").split("\r\n")
     if not gap or not lines[0].startswith("WARC/1."):
@@ -99,6 +121,8 @@ def parse(member: bytes) -> dict:
         raise WarcError("Content-Length does not fit the record")
     if fields["WARC-Block-Digest"] != f"sha1:{sha1_base32(block)}":
         raise WarcError("wrong block digest")
+    if fields["WARC-Type"] == "warcinfo":
+        return None
     http, _, payload = block.partition(b"\r\n\r\n")
     length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -115,34 +139,60 @@ def parse(member: bytes) -> dict:
 
 
 def first_pages(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
-    """(digest, first): for each payload of several pages the smallest id."""
+    """(page_digest, first, size): for each payload of several pages the smallest id, and how many they are."""
     digest = F.sha1(F.coalesce(F.col(payload_col), F.lit("")).cast("binary"))
-    return pages.select(digest.alias("digest"), F.col(id_col).alias("id")).groupBy("digest").agg(
-        F.min("id").alias("first"), F.count("*").alias("n")
-    ).where("n > 1").select("digest", "first")
+    return pages.select(digest.alias("page_digest"), F.col(id_col).alias("id")).groupBy("page_digest").agg(
+        F.min("id").alias("first"), F.count("*").alias("size")
+    ).where("size > 1")
+
+
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of an address as Spark writes it."""
+    scheme, _, rest = folder.partition(":")
+    if scheme == "file":
+        folder = "/" + rest.lstrip("/")
+    elif scheme in ("s3a", "s3n"):
+        folder = f"s3:{rest}"
+    return fs.FileSystem.from_uri(folder)
 
 
 def write_archives(
-    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_bytes: int = ARCHIVE_BYTES
-) -> DataFrame:
-    """(archive, content): every page as a record, written to the shared checkpoint folder."""
+    pages: DataFrame, folder: str | None = None, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
+    archive_bytes: int = ARCHIVE_BYTES, date: str | None = None,
+) -> DataFrame:
+    """Every page as a record in archives of ``folder`` (default: a new one in the shared checkpoint folder); a row for each archive, see ARCHIVES.
+
+    A payload that many pages share is no hot spot: its pages are not shuffled.
+    """
+    folder = (folder or f"{checkpoint_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}").rstrip("/")
+    date = date or now()
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("page_digest"))
-    rows = rows.join(cut(first_pages(pages, id_col, payload_col)), F.col("page_digest") == F.col("digest"), "left")
+    first = cut(first_pages(pages, id_col, payload_col))
+    rows = hot_join(rows, first, "page_digest", first.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], "left")
     refers = F.when(F.col("first") != F.col("id"), F.col("first").cast("string"))
     rows = rows.select(F.col("id").cast("string").alias("id"), "url", "payload", refers.alias("refers_to"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, k = [], 0, 0
-        out = pa.schema([("archive", pa.string()), ("content", pa.binary())])
+        task = TaskContext.get()
+        part_id, attempt = task.partitionId(), task.taskAttemptId()
+        store, base = _store(folder)
 
         def full() -> pa.RecordBatch:
-            return to_batch([(f"part-{TaskContext.get().partitionId():06d}-{k:06d}.warc.gz", b"".join(held))], out)
+            name = f"part-{part_id:06d}-{attempt}-{k:06d}.warc.gz"
+            if not k:
+                store.create_dir(base, recursive=True)
+            content = b"".join([info(name, date), *held])
+            with store.open_output_stream(f"{base}/.{name}", compression=None) as out:
+                out.write(content)
+            store.move(f"{base}/.{name}", f"{base}/{name}")
+            return to_batch([(f"{folder}/{name}", part_id, attempt, len(held), len(content))], _ARCHIVES)
 
         for part in parts:
             for i in range(part.num_rows):
-                page_id, url, body, first = (c[i].as_py() for c in part.columns)
-                held.append(record("" if page_id is None else page_id, url, body, first))
+                page_id, url, body, refers_to = (c[i].as_py() for c in part.columns)
+                held.append(record("" if page_id is None else page_id, url, body, refers_to, date))
                 size += len(held[-1])
                 if size >= archive_bytes:
                     yield full()
@@ -150,11 +200,24 @@ def write_archives(
         if held:
             yield full()
 
-    return cut(rows.mapInArrow(run, "archive string, content binary"))
+    return cut(rows.mapInArrow(run, ARCHIVES))
+
 
+def archive_files(spark: SparkSession, archives: DataFrame) -> DataFrame:
+    """(archive, content) of the files of ``write_archives``; no others in their folder."""
+    one = archives.select("archive").first()
+    if one is None:
+        return spark.createDataFrame([], "archive string, content binary")
+    folder = one["archive"].rpartition("/")[0]
+    files = spark.read.format("binaryFile").load(f"{folder}/*.warc.gz").select(F.col("path").alias("archive"), "content")
+    number = lambda k: F.element_at(F.split(F.element_at(F.split("archive", "/"), -1), "-"), k).cast("bigint")
+    # one attempt counts for each partition: a row of two numbers for each task of the writer
+    good = archives.select("part", "attempt").distinct()
+    return files.withColumns({"part": number(2), "attempt": number(3)}).join(F.broadcast(good), ["part", "attempt"], "left_semi").select("archive", "content")
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """One row for each record of (archive, content) rows; see RECORDS."""
+
+def read_archives(files: DataFrame) -> DataFrame:
+    """One row for each record of (archive, content) rows, warcinfo records left out; see RECORDS."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -162,6 +225,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 held, size = [], 0
                 for member in members(content.as_py()):
                     r = parse(member)
+                    if r is None:
+                        continue
                     held.append((name.as_py(), *(r[f] for f in _RECORDS.names[1:])))
                     size += r["payload_bytes"]
                     if size >= ARCHIVE_BYTES:
@@ -170,17 +235,4 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if held:
                     yield to_batch(held, _RECORDS)
 
-    return archives.select("archive", "content").mapInArrow(run, RECORDS)
-
-
-def save_archives(archives: DataFrame, folder: str) -> None:
-    """The archives as files. ``folder`` must be mounted at the same place on all executors."""
-
-    def save(rows: Iterator) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            with open(f"{folder}/.{r['archive']}.{os.getpid()}", "wb") as f:
-                f.write(r["content"])
-            os.replace(f.name, f"{folder}/{r['archive']}")
-
-    archives.foreachPartition(save)
+    return files.select("archive", "content").mapInArrow(run, RECORDS)
