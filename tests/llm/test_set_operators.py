@@ -427,37 +427,44 @@ def test_rules_are_brute_force(spark):
         url_filter.judge(pages, rules=[(f"{i}/", "block") for i in range(2000)])
 
 
-def test_models_are_brute_force(spark):
-    folder = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("few", [url_filter.FEW, 10])
+def test_models_are_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(url_filter, "FEW", few)
+    monkeypatch.setattr(common, "LEAST_HOT", 300)
+    folder, order = "/root/testdata/sf0.01", url_filter.ORDER
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     rows = pages.select("page_id", "url", (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held")).collect()
-    grams = lambda u: ["".join(x) for x in zip("^^" + u, "^" + u, u, strict=False)]
-    plain = {r["page_id"]: "".join(("0" if c.isdigit() else c.lower()) if c.isascii() and c.isalnum() else c if c in "/.-^" else "?" for c in r["url"]) for r in rows}
-    counts = {"allow": Counter(), "block": Counter()}
+    plain = {r["page_id"]: "".join(c.lower() if c.isascii() else c for c in r["url"]) for r in rows}
     labels = {r["page_id"]: naive_rule(*naive_place(r["url"]))[1] for r in rows}
+    after = {"allow": defaultdict(Counter), "block": defaultdict(Counter)}
     for r in rows:
         if labels[r["page_id"]] and not r["held"]:
-            counts[labels[r["page_id"]]].update(grams(plain[r["page_id"]]))
-
-    def probability(n, gram):
-        if gram == "":
-            return 1 / url_filter.K
-        after = Counter()
-        for g, k in n.items():
-            if g.endswith(gram[:-1], 0, 2):
-                after[g[2]] += k
-        below = probability(n, gram[1:])
-        total = sum(after.values())
-        return (after[gram[-1]] + len(after) * below) / (total + len(after)) if total else below
+            u = url_filter.PAD * order + plain[r["page_id"]]
+            for i in range(order, len(u)):
+                for k in range(order + 1):
+                    after[labels[r["page_id"]]][u[i - k : i]][u[i]] += 1
+    alphabet = len({c for u in plain.values() for c in u})
+    total = lambda kind, h: sum(after[kind][h].values()) if h in after[kind] else 0
+
+    def probability(kind, h, c):
+        below = probability(kind, h[1:], c) if h else 1 / alphabet
+        n = total(kind, h)
+        if total("allow", h) + total("block", h) < url_filter.EVIDENCE or not n:
+            return below
+        kinds = len(after[kind][h])
+        return (after[kind][h][c] + kinds * below) / (n + kinds)
 
     cache = {}
 
-    def ratio(g):
-        if g not in cache:
-            cache[g] = round(math.log(probability(counts["allow"], g)) - math.log(probability(counts["block"], g)), 4)
-        return cache[g]
+    def ratio(w):
+        if w not in cache:
+            cache[w] = math.log(probability("allow", w[:-1], w[-1])) - math.log(probability("block", w[:-1], w[-1]))
+        return cache[w]
 
-    scores = {p: sum(map(ratio, grams(u))) / len(u) for p, u in plain.items()}
+    scores = {}
+    for p, u in plain.items():
+        u = url_filter.PAD * order + u
+        scores[p] = sum(ratio(u[i - order : i + 1]) for i in range(order, len(u))) / (len(u) - order)
     got = {r["page_id"]: r for r in queries.op7_url_filter(spark, folder).collect()}
     assert all(abs(got[p]["score"] - s) < 1e-3 for p, s in scores.items())
     held = [(labels[r["page_id"]] == "allow", math.floor(got[r["page_id"]]["score"] * url_filter.BIN), 1) for r in rows if r["held"] and labels[r["page_id"]]]
@@ -465,6 +472,23 @@ def test_models_are_brute_force(spark):
     assert all(r["verdict"] == (labels[p] or ("allow" if r["score"] >= least else "block")) for p, r in got.items())
 
 
+def test_url_filter_runs_in_the_jvm_alone(spark, sf):
+    plan = url_filter.judge(spark.read.parquet(f"{sf}/pages.parquet"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_models_on_held_out_urls(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = url_filter.judge(pages, learn=F.pmod(F.xxhash64("page_id"), F.lit(2)) == 0).join(pages, "page_id").where(F.pmod(F.xxhash64("page_id"), F.lit(2)) == 1).collect()
+    right = defaultdict(list)
+    for r in got:
+        label = naive_rule(*naive_place(r["url"]))[1]
+        if label:
+            right[label].append(r["method"] == label)
+    assert len(right["allow"]) > 50 and len(right["block"]) > 50
+    assert sum(sum(x) / len(x) for x in right.values()) / 2 > 0.97
+
+
 # WARC
 
 
