@@ -105,13 +105,37 @@ def test_offsets_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(offsets, "RANGE_ROWS", 10)
     monkeypatch.setattr(offsets, "BROADCAST_ROWS", 20)
     rows = [(7 * i % 101, "x" * i) for i in range(101)]
-    got = {r["doc_id"]: r["base"] for r in offsets.with_base(docs_of(spark, rows), ("doc_id",), "text").collect()}
+    got = {r["doc_id"]: r["base"] for r in offsets.with_base(docs_of(spark, rows), ("doc_id",), "text", ("doc_id",)).collect()}
     at = 0
     for i, t in sorted(rows):
         assert got[i] == at
         at += len(t) + 1
 
 
+KEYS = [
+    ("doc_id bigint, turn string, text string", [(1, "x", "a b"), (1, "x", "c"), (None, "y", "d"), (None, None, "e a"), (1, None, None), (1, "x", "c"), (2, "z", "f")]),
+    ("doc_id string, turn string, text string", [("k%d" % (i % 7), None if i % 3 else "t", f"w{i} w{i // 2}") for i in range(60)]),
+]
+
+
+@pytest.mark.parametrize("ranges", [10**6, 4])
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+@pytest.mark.parametrize(("schema", "rows"), KEYS)
+def test_repeated_null_and_string_keys(spark, monkeypatch, schema, rows, ranges, broadcast):
+    monkeypatch.setattr(offsets, "RANGE_ROWS", ranges)
+    monkeypatch.setattr(offsets, "BROADCAST_ROWS", broadcast)
+    docs = spark.createDataFrame(rows, schema)
+    key = ("doc_id", "turn")
+    got = offsets.with_base(docs, key, "text", key).orderBy("base").collect()
+    low = lambda x: (x is not None, x)
+    assert [low(r["doc_id"]) + low(r["turn"]) for r in got] == sorted((low(r["doc_id"]) + low(r["turn"]) for r in got), key=lambda k: tuple((v is not None, v) for v in k))
+    assert sorted((r["doc_id"], r["turn"], r["text"]) for r in got if r["doc_id"] and r["turn"]) == sorted(r for r in rows if r[0] and r[1]) and len(got) == len(rows)
+    data = b"".join((r["text"] or "").encode() + b"\n" for r in got)
+    assert [r["base"] for r in got] == [len(b"".join((r["text"] or "").encode() + b"\n" for r in got[:k])) for k in range(len(got))]
+    assert as_dict(profile.profile(docs, key)) == naive(data)
+    assert sorted((r["word"].encode(), r["off"]) for r in scan.words(docs, key).collect()) == sorted((m[0], m.start()) for m in re.finditer(rb"[^ \t\n\r]+", data))
+
+
 @pytest.mark.parametrize("by", [[], ["lang"]])
 def test_late_offsets_give_the_same_profile(spark, sf, monkeypatch, by):
     docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(3)
@@ -145,7 +169,7 @@ def test_merges_in_any_order(spark):
     assert rows(profile.merge(*parts)) == rows(balanced) == rows(deep) == rows(profile.merge(*reversed(parts))) == whole
 
 
-@pytest.mark.parametrize("name", ["merge_halves", "merge_halves_outer"])
+@pytest.mark.parametrize("name", ["merge_two", "merge_full_outer"])
 def test_two_profiles_that_hold_the_whole_table_are_merged(spark, sf, name):
     assert all(half.count() for half in catalogue._halves(spark, sf))
     whole = profile.profile(spark.read.parquet(f"{sf}/documents.parquet")).select(*profile.SMALL)
@@ -154,6 +178,14 @@ def test_two_profiles_that_hold_the_whole_table_are_merged(spark, sf, name):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
 
 
+@pytest.mark.parametrize(("start", "end"), [(0, 9), (9, 31), (31, None), (10**6, None), (0, 0)])
+def test_a_stretch_of_the_virtual_file(spark, start, end):
+    got = scan.partial_counts(docs_of(spark, F1), segment_bytes=8, start=start, end=end).collect()
+    words = [(m[0].decode(), m.start()) for m in re.finditer(rb"[^ \t\n\r]+", virtual(F1))]
+    want = Counter((w, off // 8) for w, off in words if off >= start and (end is None or off < end))
+    assert sum(r["n"] for r in got) == sum(want.values()) and {(r["word"], r["segment_id"]) for r in got} == set(want)
+
+
 def test_a_profile_merged_with_itself_repeats_all(spark):
     p = profile.profile(docs_of(spark, F1))
     assert profile.singular(profile.merge(p, p)).count() == 0 and profile.singular(profile.merge_outer(p, p)).count() == 0

@@ -63,27 +63,36 @@ class Stop(Exception):
 def test_a_killed_run_goes_on_exactly_once(spark, tmp_path):
     data = b"once " + b"twice thrice " * 30 + b"boundary-word end twice " + sample(5, 300)
     (tmp_path / "in").write_bytes(data)
+    read = lambda a, b: raw.raw_counts(spark, str(tmp_path / "in"), 100, start=a, end=b)
     done = []
 
-    def words(a, b):
+    def counts(a, b):
         if len(done) == 3:
             raise Stop
         done.append(a)
-        return raw.raw_words(spark, str(tmp_path / "in"), start=a, end=b)
+        return read(a, b)
 
     folder = str(tmp_path / "run")
     with pytest.raises(Stop):
-        store.Run(spark, folder, "x").profile_segments(words, len(data), 100)
-    os.remove(f"{folder}/segments/000002/_SUCCESS")  # as if stopped while it was written
-    again = store.Run(spark, folder, "x")
+        store.Run(spark, folder, "x", 1).profile_segments(counts, len(data), 100)
+    os.remove(f"{folder}/segments/000000002-000000002/_SUCCESS")  # as if stopped while it was written
+    again = store.Run(spark, folder, "x", 1)
+    with pytest.raises(store.RunError):
+        again.merge(9)
     done = []
-    n = again.profile_segments(lambda a, b: (done.append(a), raw.raw_words(spark, str(tmp_path / "in"), start=a, end=b))[1], len(data), 100)
+    n = again.profile_segments(lambda a, b: (done.append(a), read(a, b))[1], len(data), 100)
     assert done[0] == 200 and len(done) == n - 2
-    assert store.manifest(spark, folder, n).count() == n
+    rows = store.manifest(again.segments(), 100, len(data)).orderBy("segment_id").collect()
+    assert [(r["start"], r["end"]) for r in rows] == [(100 * r["segment_id"], min(100 * r["segment_id"] + 100, len(data)) - 1) for r in rows]
+    assert sum(r["words"] for r in rows) == again.segments().count() and len(rows) == n
     assert as_bytes(again.merge(n, keep=True)) == naive(data) and os.path.isdir(f"{folder}/segments")
     assert as_bytes(again.merge(n)) == naive(data) and not os.path.isdir(f"{folder}/segments")
     with pytest.raises(store.RunError):
-        store.Run(spark, folder, "another input")
+        store.Run(spark, folder, "another input", 1)
+    whole = store.Run(spark, str(tmp_path / "one"), "x")  # all segments in one job
+    calls = []
+    n = whole.profile_segments(lambda a, b: (calls.append((a, b)), read(a, b))[1], len(data), 100)
+    assert calls == [(0, len(data))] and as_bytes(whole.merge(n)) == naive(data)
 
 
 def test_stored_profiles_are_sorted_and_pruned(spark, sf, tmp_path):
@@ -100,7 +109,7 @@ def test_command_line(spark, tmp_path, capfdbinary):
     (tmp_path / "in").write_bytes(b"a b a \xff\xfe c b " * 2 + b"\xfd only " + b"a " * 9000)
     run = str(tmp_path / "run")
     assert cli.main([str(tmp_path / "in"), run, "-m", "4k", "--profile-only"], spark) == 0
-    assert os.path.isdir(f"{run}/segments/000004") and not os.path.exists(f"{run}/profile")
+    assert os.path.isdir(f"{run}/segments/000000000-000000004") and not os.path.exists(f"{run}/profile")
     assert cli.main([str(tmp_path / "in"), run, "-m", "4096b", "--merge-only", "--keep-segments"], spark) == 0
     assert capfdbinary.readouterr().out == b""
     assert cli.main([str(tmp_path / "in"), run, "-m", "4k"], spark) == 0
@@ -111,6 +120,9 @@ def test_command_line(spark, tmp_path, capfdbinary):
     assert cli.main([str(tmp_path / "same"), str(tmp_path / "run2")], spark) == 0 and capfdbinary.readouterr().out == b""
     assert cli.main([str(tmp_path / "same"), run], spark) != 0
     assert cli.main([str(tmp_path), run], spark) == -errno.EISDIR & 0xFF and b"Is a directory" in capfdbinary.readouterr().err
+    assert cli.main([str(tmp_path / "none"), run], spark) == -errno.ENOENT & 0xFF and b"none (input): No such file" in capfdbinary.readouterr().err
+    assert cli.main([str(tmp_path / "same"), str(tmp_path / "in" / "below")], spark) != 0 and capfdbinary.readouterr().err.startswith(b"Error: ")
+    assert cli.main([f"file://{tmp_path}/same", f"file://{tmp_path}/run3"], spark) == 0
     for wrong in (["-m", "1x"], ["-m", "4095"], ["-d", "1m"], ["-n", "0"], []):
         with pytest.raises(SystemExit) as e:
             cli.arguments(([str(tmp_path / "in"), run] if wrong else []) + wrong)
@@ -122,16 +134,17 @@ def test_command_line(spark, tmp_path, capfdbinary):
     assert cli.arguments(["f", "w", "-d", "0", "-p"]).sync_distance == 0
 
 
-def test_streams_go_on_where_they_stopped(spark, sf, tmp_path):
+@pytest.mark.parametrize("every", [16, 2])
+def test_streams_go_on_where_they_stopped(spark, sf, tmp_path, every):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     folder, checkpoint, out = (str(tmp_path / x) for x in ("in", "checkpoint", "out"))
-    for k in range(2):
-        docs.where(f"doc_id % 2 = {k}").coalesce(1).write.mode("append").parquet(folder)
-        incremental.follow_to_table(spark, folder, docs.schema, checkpoint, out).awaitTermination()
+    assert incremental.latest(spark, out).count() == 0
+    for k in range(3):
+        docs.where(f"doc_id % 3 = {k}").coalesce(1).write.mode("append").parquet(folder)
+        incremental.follow_to_table(spark, folder, docs.schema, checkpoint, out, files_per_trigger=1, compact_every=every).awaitTermination()
     want = {r["word"]: (r["n"], r["repeated"], r["first"]) for r in incremental.running_profile(docs).collect()}
     assert {r["word"]: (r["n"], r["repeated"], r["first"]) for r in incremental.latest(spark, out).collect()} == want
-    incremental.follow(spark, folder, docs.schema, str(tmp_path / "c2"), "words_now", files_per_trigger=1).awaitTermination()
-    assert {r["word"]: (r["n"], r["repeated"], r["first"]) for r in spark.table("words_now").collect()} == want
+    assert sorted(os.listdir(out)) == (["batch=0", "batch=1", "batch=2"] if every > 3 else ["batch=1-all", "batch=2"])
 
 
 def naive_cost(sizes):
@@ -213,6 +226,10 @@ def test_library_stands_without_the_corpus_operators(tmp_path):
     import sys
 
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    shutil.copytree(here, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
+    shutil.copytree(here, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "spark-warehouse"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'find_first' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, env={**os.environ, "PYTHONPATH": str(tmp_path / "repo")})
+    # nor if the subpackage is there but cannot be imported
+    shutil.copytree(f"{here}/wordweir/llm", tmp_path / "repo/wordweir/llm", dirs_exist_ok=True)
+    code = f"import sys; sys.modules['tokenizers'] = None; {code}"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, env={**os.environ, "PYTHONPATH": str(tmp_path / "repo")})

@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.scalars import prefix_key, size_bytes
+from .functions.scalars import prefix_compare, prefix_key, prefix_tail, prefix_word, size_bytes
 from .operators import profile as P
 from .operators.scan import words
 from .plans.merge_plan import plan_of
 from .sources.tables import TEXTS, read
-from .streaming.incremental import running_profile
+from .session import scratch
+from .streaming.incremental import follow_to_table, latest, running_profile
 
 SEGMENT_BYTES = 65536
 TOP = 10
 #: Inputs of the size parser (fixed values).
-SIZES = ("4096", "4096b", "64k", "64KB", "512m", "512MB", "1g", "2GB", "3t", "0", "k", "1.5g", "12 k", "-1", "1kk", "")
+SIZES = (
+    "4096", "4096b", "64k", "64KB", "512m", "512MB", "1g", "2GB", "3t", "0", "k", "1.5g", "12 k", "-1", "1kk", "", "4096\n", "9999999t", "17179869184g",
+    "99999999999999999999", "9223372036854775807", "9223372036854775808", "8388607t", "8388608t",
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,9 +94,16 @@ def segment_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return segment_stats(spark, folder).select("segment_id", start.alias("start"), end.alias("end"), F.col("profile_bytes").alias("size"))
 
 
+def _halves(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """The profiles of the first half of the segments and of the rest: together the whole table, each text scanned for one of them."""
+    docs = read(spark, folder, "documents")
+    middle = P.virtual_size(docs) // SEGMENT_BYTES // 2 * SEGMENT_BYTES
+    halves = (P.segment_profiles(docs, SEGMENT_BYTES, end=middle), P.segment_profiles(docs, SEGMENT_BYTES, start=middle))
+    return [P.merge(h.select(*P.SMALL)) for h in halves]
+
+
 def merge_two(spark: SparkSession, folder: str) -> DataFrame:
-    s = _segments(spark, folder).select("segment_id", *P.SMALL)
-    return P.merge(s.where("segment_id = 0"), s.where("segment_id = 1"))
+    return P.merge(*_halves(spark, folder))
 
 
 def merge_all(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,21 +111,6 @@ def merge_all(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merge_full_outer(spark: SparkSession, folder: str) -> DataFrame:
-    s = _segments(spark, folder).select("segment_id", *P.SMALL)
-    return P.merge_outer(s.where("segment_id = 0"), s.where("segment_id = 1"))
-
-
-def _halves(spark: SparkSession, folder: str) -> list[DataFrame]:
-    """The profiles of the even and of the odd segments: together all of the table."""
-    s = _segments(spark, folder).select("segment_id", *P.SMALL)
-    return [P.merge(s.where(F.col("segment_id") % 2 == k)) for k in (0, 1)]
-
-
-def merge_halves(spark: SparkSession, folder: str) -> DataFrame:
-    return P.merge(*_halves(spark, folder))
-
-
-def merge_halves_outer(spark: SparkSession, folder: str) -> DataFrame:
     return P.merge_outer(*_halves(spark, folder))
 
 
@@ -126,6 +122,14 @@ def prefix_keys(spark: SparkSession, folder: str) -> DataFrame:
     return _profile(spark, folder).select("word", prefix_key(F.col("word")).alias("prefix_hex"))
 
 
+def prefix_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Each word from its prefix and tail, and how it compares with the least word of the same prefix."""
+    words = _profile(spark, folder).select("word", prefix_key(F.col("word")).alias("prefix_hex"), prefix_tail(F.col("word")).alias("tail_hex"))
+    least = words.groupBy("prefix_hex").agg(F.min("word").alias("least"))
+    both = words.join(least, "prefix_hex")
+    return both.select("word", "tail_hex", prefix_word(F.col("prefix_hex"), F.col("tail_hex")).alias("rebuilt"), prefix_compare(F.col("word"), F.col("least")).alias("compared"))
+
+
 def memory_size_parse(spark: SparkSession, folder: str) -> DataFrame:
     rows = spark.createDataFrame([(s,) for s in SIZES], "text string")
     return rows.select("text", size_bytes(F.col("text")).alias("bytes"))
@@ -144,6 +148,15 @@ def incremental_count(spark: SparkSession, folder: str) -> DataFrame:
     return running_profile(read(spark, folder, "documents")).select("word", "n", "repeated")
 
 
+def streamed_count(spark: SparkSession, folder: str) -> DataFrame:
+    """The streaming profile itself: the table is read as a stream to its end, and the newest row of each word read back."""
+    place = scratch(spark, "stream")
+    docs = read(spark, folder, "documents")
+    # as a pattern, so that a table of one file may be followed like a folder
+    follow_to_table(spark, f"{folder}/documents.parque[t]", docs.schema, f"{place}/checkpoint", f"{place}/out").awaitTermination()
+    return latest(spark, f"{place}/out").select("word", "n", "repeated")
+
+
 def find_first_by_lang(spark: SparkSession, folder: str) -> DataFrame:
     by_lang = P.profile(read(spark, folder, "documents"), by=["lang"])
     return P.first_word_by(by_lang, ["lang"]).select("lang", "word", "occur")
@@ -162,8 +175,9 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         word_scan, word_profile, singular_words, repeated_words, find_first, find_first_none, find_top_n, singular_list, word_count,
-        first_occurrence, segment_profile, segment_stats, segment_manifest, merge_two, merge_all, merge_full_outer, merge_halves, merge_halves_outer,
-        profile_bytes, memory_size_parse, merge_plan_dp, merge_plan_simple, incremental_count, find_first_by_lang, top_n_by_lang,
+        first_occurrence, segment_profile, segment_stats, segment_manifest, merge_two, merge_all, merge_full_outer,
+        profile_bytes, prefix_round_trip, memory_size_parse, merge_plan_dp, merge_plan_simple, incremental_count, streamed_count,
+        find_first_by_lang, top_n_by_lang,
     )
 } | {"prefix_key": prefix_keys} | {f"first_words_{t}": _first_of(t) for t in TEXTS if t != "documents"}
 
@@ -183,10 +197,35 @@ seg AS (SELECT CAST(off // {SEGMENT_BYTES} AS BIGINT) segment_id, word, count(*)
 
 _W = _words_sql()
 _SIZE = "strlen(word) + 2 + if(repeated, 0, 8)"
-_TWO = f"SELECT word, count(*) > 1 repeated, CASE WHEN count(*) = 1 THEN min(off) END occur FROM w WHERE off < {2 * SEGMENT_BYTES} GROUP BY word"
 _UNIT = "lower(regexp_extract(text, '^([0-9]+)([kKmMgGtT])?[bB]?$', 2))"
 _LANG = "SELECT lang, word, min(off) occur, row_number() OVER (PARTITION BY lang ORDER BY min(off)) AS rank FROM w GROUP BY lang, word HAVING count(*) = 1"
 
+_STATS = f"{_W}, st AS (SELECT segment_id, CAST(sum({_SIZE}) AS BIGINT) size FROM seg GROUP BY 1)"
+#: Level by level: ids of the level, the next new id.
+_PAIRS = f"""{_STATS.replace("WITH b AS", "WITH RECURSIVE b AS", 1)},
+r(ids, fresh) AS (SELECT list(segment_id ORDER BY segment_id), max(segment_id) + 1 FROM st
+  UNION ALL SELECT list_concat(range(fresh, fresh + len(ids) // 2), ids[len(ids) - len(ids) % 2 + 1:]), fresh + len(ids) // 2 FROM r WHERE len(ids) > 1),
+u AS (SELECT ids, fresh, unnest(range(0, len(ids) // 2)) i FROM r WHERE len(ids) > 1)
+SELECT fresh + i - (SELECT max(segment_id) + 1 FROM st) step, ids[2 * i + 1] AS "left", ids[2 * i + 2] AS "right", fresh + i id FROM u"""
+#: The cheapest plan by widths: c[w][a] is the cost of w segments from the a-th, k[w][a] how many go left (the fewest of equal costs).
+_COSTS = "list_transform(range(1, w + 1), lambda m: c[m][a] + c[w + 1 - m][a + m])"
+_CHEAPEST = f"""{_STATS.replace("WITH b AS", "WITH RECURSIVE b AS", 1)},
+x AS (SELECT list(segment_id ORDER BY segment_id) ids, list(size ORDER BY segment_id) sz FROM st),
+y AS (SELECT ids, len(ids) n, list_transform(range(0, len(ids) + 1), lambda i: CAST(coalesce(list_sum(sz[1:i]), 0) AS BIGINT)) sums FROM x),
+r AS (SELECT ids, n, sums, 1 AS w, [list_transform(range(0, n), lambda i: CAST(0 AS BIGINT))] c, [list_transform(range(0, n), lambda i: CAST(0 AS BIGINT))] k FROM y
+  UNION ALL SELECT ids, n, sums, w + 1,
+    list_append(c, list_transform(range(1, n - w + 1), lambda a: list_min({_COSTS}) + 2 * (sums[a + w + 1] - sums[a]))),
+    list_append(k, list_transform(range(1, n - w + 1), lambda a: CAST(list_position({_COSTS}, list_min({_COSTS})) AS BIGINT)))
+  FROM r WHERE w < n),
+z AS (SELECT * FROM r WHERE w = n),
+tree(a, w, d) AS (SELECT CAST(1 AS BIGINT), CAST(n AS BIGINT), 0 FROM z
+  UNION ALL SELECT CASE WHEN s = 0 THEN a ELSE a + m END, CASE WHEN s = 0 THEN m ELSE w - m END, d + 1
+  FROM (SELECT tree.a, tree.w, tree.d, k[tree.w][tree.a] m, unnest([0, 1]) s FROM tree, z WHERE tree.w > 1)),
+v AS (SELECT a, w, d, count(*) OVER () - row_number() OVER (ORDER BY d, a) step FROM tree WHERE w > 1),
+name AS (SELECT a, w, (SELECT max(segment_id) + 1 FROM st) + step id FROM v UNION ALL SELECT tree.a, tree.w, ids[tree.a] FROM tree, z WHERE tree.w = 1)
+SELECT v.step, p.id AS "left", q.id AS "right", o.id FROM v JOIN z ON true JOIN name o ON o.a = v.a AND o.w = v.w
+  JOIN name p ON p.a = v.a AND p.w = k[v.w][v.a] JOIN name q ON q.a = v.a + k[v.w][v.a] AND q.w = v.w - k[v.w][v.a]"""
+
 ORACLE_SQL: dict[str, str] = {
     "word_scan": f"{_W} SELECT word, off FROM w",
     "word_profile": f"{_W} SELECT word, repeated, occur FROM p",
@@ -202,18 +241,19 @@ ORACLE_SQL: dict[str, str] = {
     "segment_stats": f"{_W} SELECT segment_id, count(*) words, CAST(sum({_SIZE}) AS BIGINT) profile_bytes FROM seg GROUP BY 1",
     "segment_manifest": f"""{_W} SELECT segment_id, segment_id * {SEGMENT_BYTES} AS start, least((segment_id + 1) * {SEGMENT_BYTES}, total) - 1 AS "end", size
 FROM (SELECT segment_id, CAST(sum({_SIZE}) AS BIGINT) size FROM seg GROUP BY 1), (SELECT CAST(sum(strlen(text) + 1) AS BIGINT) total FROM documents)""",
-    "merge_two": f"{_W} {_TWO}",
-    "merge_full_outer": f"{_W} {_TWO}",
-    "merge_all": f"{_W} SELECT word, repeated, occur FROM p",
-    "merge_halves": f"{_W} SELECT word, repeated, occur FROM p",
-    "merge_halves_outer": f"{_W} SELECT word, repeated, occur FROM p",
+    **dict.fromkeys(("merge_two", "merge_full_outer", "merge_all"), f"{_W} SELECT word, repeated, occur FROM p"),
+    "merge_plan_simple": _PAIRS,
+    "merge_plan_dp": _CHEAPEST,
     "profile_bytes": f"{_W} SELECT CAST(coalesce(sum({_SIZE}), 0) AS BIGINT) bytes FROM p",
     "prefix_key": f"{_W} SELECT word, rpad(left(hex(encode(word)), 16), 16, '0') prefix_hex FROM p",
+    "prefix_round_trip": f"""{_W} SELECT word, substr(hex(encode(word)), 17) tail_hex, word AS rebuilt,
+  CAST(CASE WHEN word > min(word) OVER (PARTITION BY substr(hex(encode(word)), 1, 16)) THEN 1 ELSE 0 END AS INTEGER) compared FROM p""",
     "memory_size_parse": f"""
-SELECT text, CASE WHEN regexp_full_match(text, '([0-9]+)([kKmMgGtT])?[bB]?')
-  THEN CAST(regexp_extract(text, '^[0-9]+') AS BIGINT) * CASE {_UNIT} WHEN 'k' THEN 1024 WHEN 'm' THEN 1048576 WHEN 'g' THEN 1073741824 WHEN 't' THEN 1099511627776 ELSE 1 END END bytes
-FROM (VALUES {", ".join(f"('{s}')" for s in SIZES)}) v(text)""",
-    "incremental_count": f"{_W} SELECT word, n, repeated FROM p",
+SELECT text, CAST(CASE WHEN regexp_full_match(text, '([0-9]+)([kKmMgGtT])?[bB]?') AND number * unit < 9223372036854775808 THEN number * unit END AS BIGINT) bytes
+FROM (SELECT text, TRY_CAST(regexp_extract(text, '^[0-9]+') AS HUGEINT) number,
+  CASE {_UNIT} WHEN 'k' THEN 1024 WHEN 'm' THEN 1048576 WHEN 'g' THEN 1073741824 WHEN 't' THEN 1099511627776 ELSE 1 END unit
+  FROM (VALUES {", ".join("(" + " || chr(10) || ".join(f"'{p}'" for p in s.split(chr(10))) + ")" for s in SIZES)}) v(text))""",
+    **dict.fromkeys(("incremental_count", "streamed_count"), f"{_W} SELECT word, n, repeated FROM p"),
     "find_first_by_lang": f"{_words_sql(more=', lang')} SELECT lang, word, occur FROM ({_LANG}) WHERE rank = 1",
     "top_n_by_lang": f"{_words_sql(more=', lang')} SELECT lang, CAST(rank AS INTEGER) AS rank, word, occur FROM ({_LANG}) WHERE rank <= {TOP}",
 } | {f"first_words_{t}": f"{_words_sql(t)} SELECT word, occur FROM p WHERE NOT repeated ORDER BY occur LIMIT {TOP}" for t in TEXTS if t != "documents"}

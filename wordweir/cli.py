@@ -6,13 +6,19 @@ The profile is built segment by segment in FOLDER; the same command over an inte
 from __future__ import annotations
 
 import argparse
+import errno
 import os
+import re
 import sys
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+
 from .functions.scalars import SizeError, parse_size
 from .operators import profile as P
-from .sources.raw import FileError, raw_words, regular_size
+from .sources.files import FileError, regular
+from .sources.raw import raw_counts
 from .sources.store import Run, RunError
 
 #: Least sizes (fixed values).
@@ -54,21 +60,30 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     return found
 
 
+def reason(e: Exception) -> tuple[int, str]:
+    """Error number and text of what Spark says went wrong with a file."""
+    text = str(e.java_exception) if isinstance(e, Py4JJavaError) else str(e)
+    known = ((errno.EACCES, "ermission denied|AccessControl"), (errno.ENOSPC, "No space left"), (errno.ENOENT, "No such file|FileNotFound|does not exist"))
+    code = next((n for n, pattern in known if re.search(pattern, text)), errno.EIO)
+    return code, os.strerror(code)
+
+
 def main(argv: Sequence[str] | None = None, spark=None) -> int:  # noqa: ANN001
     found = arguments(argv)
+    role, path = "input", found.file
     try:
-        size = regular_size(found.file)
+        at = regular(found.file)
         if spark is None:
             from .session import session
 
             spark = session()
-        path = os.path.abspath(found.file)
-        at = os.stat(path)
+        source = found.file if "://" in found.file else os.path.abspath(found.file)
         step = min(found.memory_size, found.sync_distance or found.memory_size)
-        run = Run(spark, found.folder, f"{path} {at.st_size} {at.st_mtime_ns} by {step}")
-        n = max(1, -(-size // step))
+        role, path = "run", found.folder
+        run = Run(spark, found.folder, f"{source} {at.size} {at.mtime_ns} by {step}")
+        n = max(1, -(-at.size // step))
         if not run.merged:
-            n = run.profile_segments(lambda a, b: raw_words(spark, path, start=a, end=b), size, step)
+            n = run.profile_segments(lambda a, b: raw_counts(spark, source, step, start=a, end=b), at.size, step)
         if found.profile_only:
             return 0
         merged = run.merge(n, found.keep_segments)
@@ -79,8 +94,12 @@ def main(argv: Sequence[str] | None = None, spark=None) -> int:  # noqa: ANN001
         sys.stdout.flush()
         return 0
     except FileError as e:
-        print(f"Error: {e.filename} (input): {e.strerror}", file=sys.stderr)
+        print(f"Error: {e.filename} ({role}): {e.strerror}", file=sys.stderr)
         return -e.errno & 0xFF
     except RunError as e:
         print(f"Error: {e}", file=sys.stderr)
-        return -5 & 0xFF
+        return -errno.EIO & 0xFF
+    except (OSError, Py4JJavaError, PySparkException) as e:
+        code, text = (e.errno, e.strerror) if isinstance(e, OSError) and e.errno else reason(e)
+        print(f"Error: {path} ({role}): {text}", file=sys.stderr)
+        return -code & 0xFF

@@ -25,13 +25,17 @@ def parse_size(text: str) -> int:
 
 
 def size_bytes(text: Column) -> Column:
-    """``parse_size`` as an expression; null where the text is not a size."""
-    number, unit = (F.regexp_extract(text, f"^{SIZE_PATTERN}$", k) for k in (1, 2))
+    """``parse_size`` as an expression; null where the text is not a size, or one of 2 ** 63 bytes or more."""
+    number, unit = (F.regexp_extract(text, f"\\A{SIZE_PATTERN}\\z", k) for k in (1, 2))
     shift = F.lit(0)
     for letter, bits in SHIFTS.items():
         if letter:
             shift = F.when(F.lower(unit) == letter, bits).otherwise(shift)
-    return F.when(number != "", F.call_function("shiftleft", number.cast("bigint"), shift))
+    # decimals of 38 digits hold what a long shifted by 40 bits is; a longer number is no size
+    number = F.when(F.length(number) > 0, number.try_cast("decimal(38,0)"))
+    units = F.call_function("shiftleft", F.lit(1).cast("bigint"), shift)
+    fits = number <= F.floor(F.lit((1 << 63) - 1).cast("decimal(20,0)") / units)
+    return F.when(fits, number.cast("decimal(20,0)").try_cast("bigint") * units)
 
 
 def prefix_key(word: Column) -> Column:
@@ -39,6 +43,25 @@ def prefix_key(word: Column) -> Column:
     return F.rpad(F.left(F.hex(word.cast("binary")), F.lit(16)), 16, "0")
 
 
+def prefix_tail(word: Column) -> Column:
+    """What follows the first eight bytes, as hexadecimal text (empty if nothing does)."""
+    code = F.hex(word.cast("binary"))
+    return F.substring(code, F.lit(17), F.length(code))
+
+
+def prefix_word(prefix: Column, tail: Column) -> Column:
+    """The word of a prefix key and a tail; of words of less than eight bytes the padding is taken off (they end in no zero byte)."""
+    bare = F.when(F.length(tail) > 0, prefix).otherwise(F.regexp_replace(prefix, "(00)+$", ""))
+    return F.unhex(F.concat(bare, tail)).cast("string")
+
+
+def prefix_compare(left: Column, right: Column) -> Column:
+    """-1, 0 or 1: the order of two words by their prefix keys first and their tails where these are equal."""
+    a, b = prefix_key(left), prefix_key(right)
+    c, d = prefix_tail(left), prefix_tail(right)
+    return F.when(a < b, -1).when(a > b, 1).when(c < d, -1).when(c > d, 1).otherwise(0)
+
+
 def record_size(word: Column, repeated: Column) -> Column:
     """Bytes of a compact profile record: the word, its end mark, the flag, and the offset if there is one."""
     return (F.octet_length(word) + 2 + F.when(repeated, 0).otherwise(8)).cast("bigint")

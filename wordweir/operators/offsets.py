@@ -1,45 +1,86 @@
 """Where each text of a table begins in the table's virtual file.
 
-The virtual file is the texts in the order of their key, each followed by one newline. Its offsets are a prefix
-sum over all rows, done in two passes: rows fall into key ranges of about ``RANGE_ROWS`` rows, the ranges' totals
-are summed (a few rows), and within each range a window sums (key, size) pairs, never the texts.
+The virtual file is the texts in the order of their key, each followed by one newline. The order is total: nulls come first, rows of
+equal keys go by the hash of their text, and equal rows, which are alike, stand beside each other.
+
+Offsets are a prefix sum over all rows, done in two passes: rows fall into key ranges of about ``RANGE_ROWS`` rows, cut at keys of
+a bounded sample; the ranges' totals are summed (a few rows), and within each range a window sums (key, size) pairs, never the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGE_ROWS = 1_000_000
+RANGE_ROWS = 4_000_000
+#: Keys sampled for each range.
+SAMPLED = 20
 #: Up to so many rows (of two numbers each) the offsets are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: What the hash of a text is called, by which rows of equal keys are told apart.
+HASH = "__hash"
+
+
+class Places(NamedTuple):
+    """A table and the columns that tell its rows apart: the key and, where that repeats, the text's hash."""
+
+    docs: DataFrame
+    by: list[str]
+    rows: int
+    repeats: bool
+
 
+def places(docs: DataFrame, key: Sequence[str], text: str) -> Places:
+    """Reads the key columns only, to count rows and to see whether keys repeat."""
+    found = docs.groupBy(*key).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    if found[1] <= 1:
+        return Places(docs, list(key), found[0], False)
+    return Places(docs.withColumn(HASH, F.xxhash64(F.coalesce(text, F.lit("")))), [*key, HASH], found[0], True)
 
-def base_offsets(docs: DataFrame, key: Sequence[str], text: str, rows: int) -> DataFrame:
-    """key columns and ``base``. The key is unique; a null text is an empty one."""
-    sizes = docs.select(*key, (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"))
-    ranges = max(1, -(-rows // RANGE_ROWS))
+
+def same(by: Sequence[str], prefix: str) -> Column:
+    """Equal columns, nulls included, on either side of a join; ``prefix`` is before the right side's."""
+    return reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(prefix + c)) for c in by])
+
+
+def base_offsets(at: Places, text: str, prefix: str = "b_") -> DataFrame:
+    """(columns of ``at.by`` with the prefix, base, size, copies): base is that of the first of the equal rows. A null text is an empty one."""
+    size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint")
+    sizes = at.docs.select(F.struct(*at.by).alias("place"), size.alias("size"))
+    sizes = sizes.groupBy("place", "size").agg(F.count("*").alias("copies")) if at.repeats else sizes.withColumn("copies", F.lit(1).cast("bigint"))
+    ranges = max(1, -(-at.rows // RANGE_ROWS))
+    out = [*(F.col(f"place.{c}").alias(prefix + c) for c in at.by), "base", "size", "copies"]
+    within = Window.partitionBy("range").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    local = F.coalesce(F.sum(F.col("size") * F.col("copies")).over(within), F.lit(0))
     if ranges == 1:
-        sizes = sizes.withColumn("range", F.lit(0))
-    else:
-        cuts = sizes.agg(F.percentile_approx(key[0], [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
-        bounds = F.array(*(F.lit(c) for c in sorted(set(cuts))))
-        sizes = sizes.withColumn("range", F.size(F.filter(bounds, lambda b: b < F.col(key[0]))))
+        return sizes.withColumn("range", F.lit(0)).withColumn("base", local).select(*out)
+    # at most twice the rows that are expected come to the driver; any cuts give right offsets
+    some = sizes.where(F.pmod(F.xxhash64("place"), F.lit(at.rows)) < SAMPLED * ranges).select("place").orderBy("place").limit(2 * SAMPLED * ranges).collect()
+    kinds = sizes.schema["place"].dataType
+    cuts = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r["place"], kinds, strict=True))) for r in some[SAMPLED - 1 :: SAMPLED]]
+    sizes = sizes.withColumn("range", F.size(F.filter(F.array(*cuts), lambda c: c < F.col("place"))) if cuts else F.lit(0))
+    totals = sizes.groupBy("range").agg(F.sum(F.col("size") * F.col("copies")).alias("total"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy("range").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
-    local = F.coalesce(F.sum("size").over(within), F.lit(0))
-    if ranges == 1:
-        return sizes.select(*key, local.alias("base"))
-    totals = sizes.groupBy("range").agg(F.sum("size").alias("total"))
     starts = totals.select("range", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
-    return sizes.withColumn("local", local).join(F.broadcast(starts), "range").select(*key, (F.col("start") + F.col("local")).alias("base"))
+    return sizes.withColumn("local", local).join(F.broadcast(starts), "range").withColumn("base", F.col("start") + F.col("local")).select(*out)
 
 
 def with_base(docs: DataFrame, key: Sequence[str], text: str, extra: Sequence[str] = ()) -> DataFrame:
-    """(key columns, ``extra`` columns, text, base)."""
-    rows = docs.count()
-    base = base_offsets(docs, key, text, rows)
-    base = F.broadcast(base) if rows <= BROADCAST_ROWS else base
-    return docs.select(*key, *extra, F.col(text).alias("text")).join(base, list(key))
+    """(``extra`` columns, text, base), a row for each row."""
+    at = places(docs, key, text)
+    base = base_offsets(at, text)
+    base = F.broadcast(base) if at.rows <= BROADCAST_ROWS else base
+    rows = at.docs.select(*at.by, F.struct(*extra).alias("extra") if extra else F.lit(0).alias("extra"), F.col(text).alias("text"))
+    rows = rows.join(base, same(at.by, "b_"))
+    more = [F.col(f"extra.{c}").alias(c) for c in extra]
+    if not at.repeats:
+        return rows.select(*more, "text", "base")
+    # equal rows: numbered within their key and hash; only their texts are shuffled
+    one = rows.where("copies = 1").select(*more, "text", "base")
+    number = F.row_number().over(Window.partitionBy(*at.by).orderBy(F.lit(0))) - 1
+    many = rows.where("copies > 1").withColumn("base", F.col("base") + number * F.col("size"))
+    return one.unionByName(many.select(*more, "text", "base"))

@@ -36,13 +36,14 @@ def profile(docs: DataFrame, key: Sequence[str] = ("doc_id",), text: str = "text
     Neither way shuffles a text. Where the texts' offsets are few enough they are broadcast to the scan; beyond
     that words are aggregated by place (key, local offset), and the offsets are joined to the distinct words.
     """
-    rows = docs.count()
-    if rows <= offsets.BROADCAST_ROWS:
+    at = offsets.places(docs, key, text)
+    if at.rows <= offsets.BROADCAST_ROWS:
         return finish(partial_counts(docs, key, text, by), by)
-    totals = partial_places(docs, key, text, by).groupBy(*by, "word").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-    totals = totals.select(*by, "word", "n", F.col("first.local").alias("local"), *(F.col(f"first.{c}").alias(f"key_{c}") for c in key))
-    bases = offsets.base_offsets(docs, key, text, rows).select("base", *(F.col(c).alias(f"key_{c}") for c in key))
-    placed = totals.join(bases, [f"key_{c}" for c in key])
+    totals = partial_places(at, text, by).groupBy(*by, "word").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    totals = totals.select(*by, "word", "n", F.col("first.local").alias("local"), *(F.col(f"first.key_{c}").alias(f"at_{c}") for c in at.by))
+    bases = offsets.base_offsets(at, text).select("base", *(F.col(f"b_{c}").alias(f"b_at_{c}") for c in at.by))
+    # a repeated text's first copy is where the word first is
+    placed = totals.join(bases, offsets.same([f"at_{c}" for c in at.by], "b_"))
     return _flagged(placed.select(*by, "word", "n", (F.col("base") + F.col("local")).alias("first_off")), by)
 
 
@@ -51,9 +52,19 @@ def profile_words(words: DataFrame) -> DataFrame:
     return finish(words.select("word", F.lit(1).cast("bigint").alias("n"), F.col("off").alias("first_off")))
 
 
-def segment_profiles(docs: DataFrame, segment_bytes: int, key: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
-    """One profile for each stretch of ``segment_bytes`` of the virtual file, with its segment_id."""
-    return finish(partial_counts(docs, key, text, segment_bytes=segment_bytes), ["segment_id"])
+def segment_profiles(
+    docs: DataFrame, segment_bytes: int, key: Sequence[str] = ("doc_id",), text: str = "text", start: int = 0, end: int | None = None
+) -> DataFrame:
+    """One profile for each stretch of ``segment_bytes`` of the virtual file [start, end), with its segment_id.
+
+    The cheap way to the profile of a whole table is ``profile``: this one shuffles by segment and word.
+    """
+    return finish(partial_counts(docs, key, text, segment_bytes=segment_bytes, start=start, end=end), ["segment_id"])
+
+
+def virtual_size(docs: DataFrame, text: str = "text") -> int:
+    """Bytes of the virtual file."""
+    return docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1), F.lit(0)).cast("bigint")).first()[0]
 
 
 def segment_statistics(segments: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .offsets import with_base
+from .offsets import Places, with_base
 
 DELIMITERS = b" \t\n\r"
 #: Bytes of text that are vectorised at once.
@@ -90,15 +90,22 @@ def words(docs: DataFrame, key: Sequence[str] = ("doc_id",), text: str = "text",
 
 
 def partial_counts(
-    docs: DataFrame, key: Sequence[str] = ("doc_id",), text: str = "text", extra: Sequence[str] = (), segment_bytes: int | None = None
-) -> DataFrame:
-    """(word, n, first_off), the ``extra`` columns and, if asked for, segment_id: combined within each batch."""
+    docs: DataFrame, key: Sequence[str] = ("doc_id",), text: str = "text", extra: Sequence[str] = (), segment_bytes: int | None = None,
+    start: int = 0, end: int | None = None,
+) -> DataFrame:
+    """(word, n, first_off), the ``extra`` columns and, if asked for, segment_id: combined within each batch.
+
+    Only words that begin in [start, end) of the virtual file; texts that lie outside do not reach the scan.
+    """
     by = ["word", *extra, *(["segment_id"] if segment_bytes else [])]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             bases = part.column("base").to_numpy(zero_copy_only=False)
             for owner, word, off in scan_batch(part.column("text"), bases, pa.string()):
+                if start or end is not None:
+                    inside = (off >= start) & (off < (off.max(initial=0) + 1 if end is None else end))
+                    owner, word, off = owner[inside], word.filter(pa.array(inside)), off[inside]
                 columns = {"word": word, "off": pa.array(off), **{c: part.column(c).take(pa.array(owner)) for c in extra}}
                 if segment_bytes:
                     columns["segment_id"] = pa.array(off // segment_bytes)
@@ -107,42 +114,49 @@ def partial_counts(
                 yield from found.combine_chunks().to_batches()
 
     rows = with_base(docs, key, text, extra).select("text", "base", *extra)
+    if start:
+        rows = rows.where(F.col("base") + F.coalesce(F.octet_length("text"), F.lit(0)) > start)
+    if end is not None:
+        rows = rows.where(F.col("base") < end)
     segment = ", segment_id bigint" if segment_bytes else ""
     return rows.mapInArrow(run, f"word string{_kinds(docs, extra)}{segment}, n bigint, first_off bigint")
 
 
-def partial_places(docs: DataFrame, key: Sequence[str] = ("doc_id",), text: str = "text", extra: Sequence[str] = ()) -> DataFrame:
-    """(word, n, first) and the ``extra`` columns, combined within each batch; first: (key columns, local offset in the text).
+def partial_places(at: Places, text: str = "text", extra: Sequence[str] = ()) -> DataFrame:
+    """(word, n, first) and the ``extra`` columns, combined within each batch; first: (columns of ``at.by``, local offset).
 
     Places order as offsets in the virtual file do, and need no offsets of texts.
     """
     by = ["word", *extra]
-    kinds = ", ".join(f"{c}:{docs.schema[c].dataType.simpleString()}" for c in key)
+    place = [f"key_{c}" for c in at.by]
+    rows = at.docs.select(*(F.col(c).alias(f"key_{c}") for c in at.by), F.col(text).alias("text"), *extra)
+    kinds = ", ".join(f"{c}:{rows.schema[c].dataType.simpleString()}" for c in place)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            order = pc.sort_indices(pa.table({c: part.column(f"key_{c}") for c in key}), [(c, "ascending") for c in key]).to_numpy()
+            keys = pa.table({c: part.column(c) for c in place})
+            order = pc.sort_indices(keys, [(c, "ascending") for c in place], null_placement="at_start").to_numpy()
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             for owner, word, off in scan_batch(part.column("text"), np.zeros(part.num_rows, np.int64), pa.string()):
                 columns = {"word": word, "place": pa.array((rank[owner] << 32) + off), **{c: part.column(c).take(pa.array(owner)) for c in extra}}
                 found = pa.table(columns).group_by(by).aggregate([("place", "count"), ("place", "min")]).combine_chunks()
-                place = found.column("place_min").to_numpy()
-                rows = pa.array(order[place >> 32].astype(np.int64))
-                fields = [part.column(f"key_{c}").take(rows) for c in key] + [pa.array(place & 0xFFFFFFFF)]
-                first = pa.StructArray.from_arrays(fields, names=[*key, "local"])
+                at = found.column("place_min").to_numpy()
+                taken = pa.array(order[at >> 32].astype(np.int64))
+                fields = [part.column(c).take(taken) for c in place] + [pa.array(at & 0xFFFFFFFF)]
+                first = pa.StructArray.from_arrays(fields, names=[*place, "local"])
                 arrays = [*(found.column(c).combine_chunks() for c in by), found.column("place_count").combine_chunks(), first]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*by, "n", "first"])
 
-    rows = docs.select(*(F.col(c).alias(f"key_{c}") for c in key), F.col(text).alias("text"), *extra)
-    return rows.mapInArrow(run, f"word string{_kinds(docs, extra)}, n bigint, first struct<{kinds},local:bigint>")
+    return rows.mapInArrow(run, f"word string{_kinds(at.docs, extra)}, n bigint, first struct<{kinds},local:bigint>")
 
 
 def words_by_window(docs: DataFrame, key: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """The same rows as ``words`` from built-in functions only; it shuffles and sorts every word. For comparison."""
     rows = with_base(docs, key, text)
     split = F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\r]", -1)
-    tokens = rows.select(*key, "base", F.posexplode(split).alias("pos", "word"))
-    before = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    tokens = rows.select("base", F.posexplode(split).alias("pos", "word"))
+    # no two texts begin at the same place
+    before = Window.partitionBy("base").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     off = F.col("base") + F.coalesce(F.sum(F.octet_length("word") + 1).over(before), F.lit(0))
     return tokens.select("word", off.alias("off")).where("word <> ''")

@@ -2,14 +2,11 @@
 
 A file is cut into byte ranges that tasks read on their own. A word belongs to the range in which it starts: a task looks at the
 byte before its range to know whether it starts inside a word, and reads beyond the end to finish its last one. Files
-are opened by the executors, so the path must be mounted on all of them.
+are opened by the executors, by any address that ``files.store`` takes. With ``segmentBytes`` tasks count words by segment themselves.
 """
 
 from __future__ import annotations
 
-import errno
-import os
-import stat
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,31 +15,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.scan import _GAP, find_words, word_array
+from .files import FileError, regular, store
+
+__all__ = ["FileError", "raw_counts", "raw_words", "regular_size"]
 
 NAME = "raw_words"
 RANGE_BYTES, BUFFER_BYTES = 128 << 20, 4 << 20
-
-
-class FileError(OSError):
-    """A path that cannot be read as one file of words."""
+WORDS, COUNTS = "word binary, off bigint", "word binary, segment_id bigint, n bigint, first_off bigint"
 
 
 def regular_size(path: str) -> int:
-    """Size of a regular file; a folder or a special file is refused."""
-    try:
-        found = os.stat(path)
-    except OSError as e:
-        raise FileError(e.errno, os.strerror(e.errno), path) from e
-    if stat.S_ISDIR(found.st_mode):
-        raise FileError(errno.EISDIR, os.strerror(errno.EISDIR), path)
-    if not stat.S_ISREG(found.st_mode):
-        raise FileError(errno.EIO, os.strerror(errno.EIO), path)
-    return found.st_size
+    """Size of a regular file; anything else is refused."""
+    return regular(path).size
 
 
 def range_words(path: str, start: int, end: int, buffer: int = BUFFER_BYTES) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """Words that start in [start, end) and their offsets, a buffer at a time."""
-    with open(path, "rb") as f:
+    system, place = store(path)
+    with system.open_input_file(place) as f:
         at = start
         inside = False  # of a word that belongs to the range before
         if start:
@@ -94,6 +84,7 @@ class RawWordsReader(DataSourceReader):
         self.step = int(options.get("rangebytes", RANGE_BYTES))
         self.buffer = int(options.get("bufferbytes", BUFFER_BYTES))
         self.start, self.end = int(options.get("start", 0)), int(options.get("end", -1))
+        self.segment = int(options.get("segmentbytes", 0))
 
     def partitions(self) -> list[Range]:
         size = regular_size(self.path)
@@ -101,30 +92,46 @@ class RawWordsReader(DataSourceReader):
         return [Range(a, min(end, a + self.step)) for a in range(self.start, end, self.step)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("word", pa.binary()), ("off", pa.int64())])
         for word, off in range_words(self.path, partition.start, partition.end, self.buffer):
-            yield pa.RecordBatch.from_arrays([word, pa.array(off)], schema=schema)
+            if not self.segment:
+                yield pa.RecordBatch.from_arrays([word, pa.array(off)], names=["word", "off"])
+                continue
+            # equal words of a buffer are combined before they go to the JVM
+            found = pa.table({"word": word, "segment_id": pa.array(off // self.segment), "off": pa.array(off)}).group_by(["word", "segment_id"])
+            found = found.aggregate([("off", "count"), ("off", "min")]).select(["word", "segment_id", "off_count", "off_min"])
+            yield from found.rename_columns(["word", "segment_id", "n", "first_off"]).combine_chunks().to_batches()
 
 
 class RawWords(DataSource):
-    """Options: path, rangeBytes, bufferBytes, start, end (only words that start in [start, end))."""
+    """Options: path, rangeBytes, bufferBytes, start, end (only words that start in [start, end)), segmentBytes (counts, not words)."""
 
     @classmethod
     def name(cls) -> str:
         return NAME
 
     def schema(self) -> str:
-        return "word binary, off bigint"
+        return COUNTS if int(dict(self.options).get("segmentBytes", dict(self.options).get("segmentbytes", 0))) else WORDS
 
     def reader(self, schema) -> RawWordsReader:  # noqa: ANN001
         return RawWordsReader(dict(self.options))
 
 
-def raw_words(spark: SparkSession, path: str, *, range_bytes: int = RANGE_BYTES, buffer_bytes: int = BUFFER_BYTES, start: int = 0, end: int = -1) -> DataFrame:
-    """(word binary, off) of a file. Refuses at once what is not a regular file."""
+def _read(spark: SparkSession, path: str, schema: str, range_bytes: int, buffer_bytes: int, start: int, end: int, segment_bytes: int) -> DataFrame:
     size = regular_size(path)
     if not size or start >= size or (0 <= end <= start):
-        return spark.createDataFrame([], "word binary, off bigint")
+        return spark.createDataFrame([], schema)
     spark.dataSource.register(RawWords)
-    reader = spark.read.format(NAME).option("rangeBytes", range_bytes).option("bufferBytes", buffer_bytes)
+    reader = spark.read.format(NAME).option("rangeBytes", range_bytes).option("bufferBytes", buffer_bytes).option("segmentBytes", segment_bytes)
     return reader.option("start", start).option("end", end).load(path)
+
+
+def raw_words(spark: SparkSession, path: str, *, range_bytes: int = RANGE_BYTES, buffer_bytes: int = BUFFER_BYTES, start: int = 0, end: int = -1) -> DataFrame:
+    """(word binary, off) of a file. Refuses at once what is not a regular file."""
+    return _read(spark, path, WORDS, range_bytes, buffer_bytes, start, end, 0)
+
+
+def raw_counts(
+    spark: SparkSession, path: str, segment_bytes: int, *, range_bytes: int = RANGE_BYTES, buffer_bytes: int = BUFFER_BYTES, start: int = 0, end: int = -1
+) -> DataFrame:
+    """(word binary, segment_id, n, first_off) of a file, partial counts by stretches of ``segment_bytes``."""
+    return _read(spark, path, COUNTS, range_bytes, buffer_bytes, start, end, segment_bytes)

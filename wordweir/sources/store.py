@@ -1,7 +1,8 @@
 """Profiles as Parquet, and runs that can be resumed.
 
-A run works in a folder: ``identity`` says what the input is, ``segments/<k>`` are the segments' profiles, ``profile`` is their
-merge. Each is written by Spark's commit protocol and counts only once its success mark is there; an unfinished one is
+A run works in a folder: ``identity`` says what the input is, ``segments/<first>-<last>`` hold the profiles of a wave of segments, ``profile``
+is the merge of all. A wave is one job over all its segments, and all waves are merged by one read. Each folder is written by
+Spark's commit protocol and counts only once its success mark is there; an unfinished one is
 written anew as a whole. So a resumed run sees every byte exactly once, wherever the one before was stopped.
 """
 
@@ -43,15 +44,20 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
+#: Segments of a job: what is done again at most if a run is stopped.
+WAVE = 1024
+
+
 class Run:
     """A resumable profile of something that can be cut into segments.
 
-    ``identity`` describes the input (name, size, time ...); ``words(start, end)`` gives the (word, off) rows of
-    the segment [start, end).
+    ``identity`` describes the input (name, size, time ...); ``counts(start, end)`` gives the partial (word, segment_id, n, first_off)
+    rows of the stretch [start, end), which is some whole segments.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, identity: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, identity: str, wave: int = WAVE) -> None:
+        self.spark, self.folder, self.wave = spark, folder.rstrip("/"), wave
+        identity = f"{identity} in waves of {wave}"
         path = f"{self.folder}/identity"
         if committed(spark, path):
             known = spark.read.parquet(path).first()["identity"]
@@ -60,23 +66,31 @@ class Run:
         else:
             spark.createDataFrame([(identity,)], "identity string").coalesce(1).write.mode("overwrite").parquet(path)
 
-    def segment(self, k: int) -> str:
-        return f"{self.folder}/segments/{k:06d}"
+    def waves(self, n: int) -> list[tuple[int, int, str]]:
+        """First segment, end and folder of each wave of n segments."""
+        ends = [(a, min(n, a + self.wave)) for a in range(0, n, self.wave)]
+        return [(a, b, f"{self.folder}/segments/{a:09d}-{b - 1:09d}") for a, b in ends]
 
-    def profile_segments(self, words: Callable[[int, int], DataFrame], size: int, segment_bytes: int) -> int:
-        """Writes the segments that are missing; their number."""
+    def profile_segments(self, counts: Callable[[int, int], DataFrame], size: int, segment_bytes: int) -> int:
+        """Writes the waves that are missing; the number of segments."""
         n = max(1, -(-size // segment_bytes))
-        for k in range(n):
-            if not committed(self.spark, self.segment(k)):
-                part = P.profile_words(words(k * segment_bytes, min(size, (k + 1) * segment_bytes)))
-                write_profile(part, self.segment(k))
+        for a, b, path in self.waves(n):
+            if not committed(self.spark, path):
+                write_profile(P.finish(counts(a * segment_bytes, min(size, b * segment_bytes)), ["segment_id"]), path)
         return n
 
+    def segments(self) -> DataFrame:
+        """The profiles of all segments, with their segment_id."""
+        return read_profile(self.spark, f"{self.folder}/segments/*")
+
     def merge(self, n: int, keep: bool = False) -> DataFrame:
         """The merge of all n segments, stored; the segments go afterwards unless they are to be kept."""
         path = f"{self.folder}/profile"
         if not committed(self.spark, path):
-            write_profile(P.merge(*(read_profile(self.spark, self.segment(k)) for k in range(n))), path)
+            missing = [p for *_, p in self.waves(n) if not committed(self.spark, p)]
+            if missing:
+                raise RunError(f"not profiled yet: {missing[0]}")
+            write_profile(P.merge(self.segments()), path)
         if not keep:
             remove(self.spark, f"{self.folder}/segments")
         return read_profile(self.spark, path)
@@ -86,10 +100,8 @@ class Run:
         return committed(self.spark, f"{self.folder}/profile")
 
 
-def manifest(spark: SparkSession, folder: str, n: int) -> DataFrame:
-    """(segment_id, words, profile_bytes) of a run's stored segments."""
-    parts = [read_profile(spark, f"{folder}/segments/{k:06d}").withColumn("segment_id", F.lit(k).cast("bigint")) for k in range(n)]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return P.segment_statistics(rows)
+def manifest(segments: DataFrame, segment_bytes: int, size: int) -> DataFrame:
+    """(segment_id, start, end, words, profile_bytes) of a run's stored segments; ``end`` is the last byte. Segments without words have no row."""
+    start = F.col("segment_id") * segment_bytes
+    end = F.least(start + segment_bytes, F.lit(size)) - 1
+    return P.segment_statistics(segments).select("segment_id", start.alias("start"), end.alias("end"), "words", "profile_bytes")
