@@ -566,15 +566,43 @@ def test_pipeline_is_its_stages_by_brute_force(spark, sf):
     assert sorted((r["doc_id"], r["start"], r["length"], bytes(r["ids"]), r["doc_tokens"]) for r in got) == want
 
 
-def test_pipeline_stages_keep_the_columns(spark, sf):
+ODD = [
+    (1, None, "en", 1, "x"), (2, "", "en", 2, "x"), (3, " \n ", None, 3, None), (None, "no id, but some words that say enough of what it is", "en", 4, "x"),
+    (4, "the same text " * 30, "en", 5, "x"), (4, "the same text " * 30, "en", 5, "x"), (5, "the same text " * 30 + "and more", "en", 6, "x"),
+    (6, "long " * 200_000, "en", 7, "x"), (7, "x" * 600_000, "en", 8, "x"), (8, "!!??", "en", 9, "x"),
+]
+CLASHING = "doc_id bigint, text string, lang string, shard int, key string"
+
+
+@pytest.mark.parametrize("extra", [["node", "id", "hash"], ["record", "ids", "band00"], ["row", "text_hash", "lead", "block", "start", "n_lines"]])
+def test_pipeline_stages_in_all_cases(spark, sf, extra):
+    import corpus_pipeline
+
+    known = spark.read.parquet(f"{sf}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text", "lang", F.lit(1).alias("shard"), F.lit("k").alias("key")).limit(80)
+    docs = known.unionByName(spark.createDataFrame(ODD, CLASHING)).withColumns({c: F.lit(k) for k, c in enumerate(extra)})
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, sf), stage(spark, docs.limit(0), sf)
+        rows = out.collect()
+        assert none.count() == 0 and none.columns == out.columns
+        if name != "packing":
+            assert out.dtypes == docs.dtypes and rows
+        ids = Counter(r["doc_id"] for r in rows)
+        if name == "language":
+            assert not {1, 2, 3, 8} & set(ids)
+        if name == "lines":
+            assert sum(ids.values()) == docs.count() and {r["doc_id"]: r["text"] for r in rows}[1] is None
+        if name == "near":
+            assert ids[4] == 1 and ids[5] == 0 and ids[1] + ids[2] == 1 and ids[None] == ids[3] == ids[8] == 1
+        if name == "benchmark":
+            assert ids[4] == 2 and {1, 2, 3, None, 6, 7, 8} <= set(ids)
+        if name == "packing":
+            assert ids[1] == ids[2] == 1 and {r["doc_tokens"] for r in rows if r["doc_id"] in (1, 2)} == {1}
+            assert len({r["sequence_id"] for r in rows}) == len(rows) and sum(r["length"] for r in rows if r["doc_id"] == 4) == 2 * next(r["doc_tokens"] for r in rows if r["doc_id"] == 4)
+
+
+def test_lines_follow_their_number_of_characters(spark, sf):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
-    odd = docs.limit(2).withColumns({"text": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")})
-    docs = docs.unionByName(odd)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.dtypes == docs.dtypes
-        assert stage(spark, docs.limit(0), sf).count() == 0
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(50)
     lined = corpus_pipeline.lines(spark, docs, sf)
-    assert lined.count() == docs.count() and lined.where(F.length("text") != F.col("n_chars")).count() == 0
+    assert lined.dtypes == docs.dtypes and lined.count() == docs.count() and lined.where(F.length("text") != F.col("n_chars")).count() == 0

@@ -22,11 +22,11 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import store
 from .common import checkpoint_dir, cut, hot_join, to_batch
 
 ARCHIVE_BYTES, STEP = 4 << 20, 64 << 10
@@ -146,16 +146,6 @@ def first_pages(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     ).where("size > 1")
 
 
-def _store(folder: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of an address as Spark writes it."""
-    scheme, _, rest = folder.partition(":")
-    if scheme == "file":
-        folder = "/" + rest.lstrip("/")
-    elif scheme in ("s3a", "s3n"):
-        folder = f"s3:{rest}"
-    return fs.FileSystem.from_uri(folder)
-
-
 def write_archives(
     pages: DataFrame, folder: str | None = None, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
     archive_bytes: int = ARCHIVE_BYTES, date: str | None = None,
@@ -177,16 +167,16 @@ def write_archives(
         held, size, k = [], 0, 0
         task = TaskContext.get()
         part_id, attempt = task.partitionId(), task.taskAttemptId()
-        store, base = _store(folder)
+        system, base = store(folder)
 
         def full() -> pa.RecordBatch:
             name = f"part-{part_id:06d}-{attempt}-{k:06d}.warc.gz"
             if not k:
-                store.create_dir(base, recursive=True)
+                system.create_dir(base, recursive=True)
             content = b"".join([info(name, date), *held])
-            with store.open_output_stream(f"{base}/.{name}", compression=None) as out:
+            with system.open_output_stream(f"{base}/.{name}", compression=None) as out:
                 out.write(content)
-            store.move(f"{base}/.{name}", f"{base}/{name}")
+            system.move(f"{base}/.{name}", f"{base}/{name}")
             return to_batch([(f"{folder}/{name}", part_id, attempt, len(held), len(content))], _ARCHIVES)
 
         for part in parts:
