@@ -487,5 +487,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
     gone = rows.join(kept, "node").where(~same).select(F.col("id").alias("gone"), F.col("text_hash").alias("gone_hash")).distinct()
     whole = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("text"), F.struct("*").alias("row"))
-    match = F.col("id").eqNullSafe(F.col("gone")) & (F.col("text") == F.col("gone_hash"))
-    return whole.join(gone, match, "left_anti").dropDuplicates(["id", "text"]).select("row.*")
+    left = whole.join(gone, _is("gone", "gone_hash"), "left_anti")
+    repeated = cut(rows.groupBy("id", "text_hash").count().where("count > 1").select(F.col("id").alias("again"), F.col("text_hash").alias("again_hash")))
+    if repeated.isEmpty():  # no text has to be shuffled to find equal rows
+        return left.select("row.*")
+    once, more = (left.join(repeated, _is("again", "again_hash"), how) for how in ("left_anti", "left_semi"))
+    return once.select("row.*").unionByName(more.dropDuplicates(["id", "text"]).select("row.*"))
+
+
+def _is(id_col: str, hash_col: str) -> Column:
+    return F.col("id").eqNullSafe(F.col(id_col)) & (F.col("text") == F.col(hash_col))
