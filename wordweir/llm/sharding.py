@@ -27,7 +27,9 @@ NO_KEY = "~"
 def highest_hash(key: Column, shards: int, seed: int = SEED) -> Column:
     """Number of the shard whose hash with the key is highest (of equal ones: the highest number)."""
     text = F.coalesce(key.cast("string"), F.lit(NO_KEY))
-    ranks = F.array(*(F.struct(F.md5(F.concat(text, F.lit(f":{seed}:{s}"))).alias("h"), F.lit(s).alias("s")) for s in range(shards)))
+    # one expression over the shard numbers, not one for each: generated code stays small
+    numbers = F.sequence(F.lit(0), F.lit(shards - 1))
+    ranks = F.transform(numbers, lambda s: F.struct(F.md5(F.concat(text, F.lit(f":{seed}:"), s.cast("string"))).alias("h"), s.alias("s")))
     return F.array_max(ranks)["s"]
 
 
