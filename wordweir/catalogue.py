@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions.scalars import prefix_compare, prefix_key, prefix_tail, prefix_word, size_bytes
 from .operators import profile as P
-from .operators.scan import words
+from .operators.scan import partial_counts, words, words_by_window
 from .plans.merge_plan import plan_of
+from .sources.store import Run, manifest, read_profile, write_profile
 from .sources.tables import TEXTS, read
 from .session import scratch
 from .streaming.incremental import follow_to_table, latest, running_profile
@@ -88,7 +89,7 @@ def segment_stats(spark: SparkSession, folder: str) -> DataFrame:
 def segment_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """First and last byte of each segment, and the size of its profile."""
     docs = read(spark, folder, "documents")
-    total = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    total = P.virtual_size(docs)
     start = F.col("segment_id") * SEGMENT_BYTES
     end = F.least(start + SEGMENT_BYTES, F.lit(total)) - 1
     return segment_stats(spark, folder).select("segment_id", start.alias("start"), end.alias("end"), F.col("profile_bytes").alias("size"))
@@ -114,6 +115,38 @@ def merge_full_outer(spark: SparkSession, folder: str) -> DataFrame:
     return P.merge_outer(*_halves(spark, folder))
 
 
+def stored_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """The profile written as a sorted table, and read back."""
+    path = scratch(spark, "profile")
+    write_profile(_profile(spark, folder).select(*P.SMALL), path)
+    return read_profile(spark, path)
+
+
+def _run(spark: SparkSession, folder: str) -> tuple[Run, int, int]:
+    """A run over the table in four waves of segments, with the number of segments and bytes."""
+    docs = read(spark, folder, "documents")
+    size = P.virtual_size(docs)
+    run = Run(spark, scratch(spark, "run"), folder, wave=max(1, -(-size // SEGMENT_BYTES // 4)))
+    n = run.profile_segments(lambda a, b: partial_counts(docs, segment_bytes=SEGMENT_BYTES, start=a, end=b), size, SEGMENT_BYTES)
+    return run, n, size
+
+
+def run_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """The merge of a run's stored segments, which are deleted after it."""
+    run, n, _ = _run(spark, folder)
+    return run.merge(n).select(*P.SMALL)
+
+
+def run_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    run, _, size = _run(spark, folder)
+    return manifest(run.segments(), SEGMENT_BYTES, size)
+
+
+def word_profile_by_sort(spark: SparkSession, folder: str) -> DataFrame:
+    """The same profile from built-in functions only, which sort every word."""
+    return P.profile_words(words_by_window(read(spark, folder, "documents"))).select(*P.SMALL)
+
+
 def profile_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return P.profile_bytes(_profile(spark, folder))
 
@@ -176,7 +209,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         word_scan, word_profile, singular_words, repeated_words, find_first, find_first_none, find_top_n, singular_list, word_count,
         first_occurrence, segment_profile, segment_stats, segment_manifest, merge_two, merge_all, merge_full_outer,
-        profile_bytes, prefix_round_trip, memory_size_parse, merge_plan_dp, merge_plan_simple, incremental_count, streamed_count,
+        stored_profile, run_profile, run_manifest, word_profile_by_sort, profile_bytes, prefix_round_trip, memory_size_parse, merge_plan_dp, merge_plan_simple, incremental_count, streamed_count,
         find_first_by_lang, top_n_by_lang,
     )
 } | {"prefix_key": prefix_keys} | {f"first_words_{t}": _first_of(t) for t in TEXTS if t != "documents"}
@@ -240,8 +273,10 @@ ORACLE_SQL: dict[str, str] = {
     "segment_profile": f"{_W} SELECT * FROM seg",
     "segment_stats": f"{_W} SELECT segment_id, count(*) words, CAST(sum({_SIZE}) AS BIGINT) profile_bytes FROM seg GROUP BY 1",
     "segment_manifest": f"""{_W} SELECT segment_id, segment_id * {SEGMENT_BYTES} AS start, least((segment_id + 1) * {SEGMENT_BYTES}, total) - 1 AS "end", size
-FROM (SELECT segment_id, CAST(sum({_SIZE}) AS BIGINT) size FROM seg GROUP BY 1), (SELECT CAST(sum(strlen(text) + 1) AS BIGINT) total FROM documents)""",
-    **dict.fromkeys(("merge_two", "merge_full_outer", "merge_all"), f"{_W} SELECT word, repeated, occur FROM p"),
+FROM (SELECT segment_id, CAST(sum({_SIZE}) AS BIGINT) size FROM seg GROUP BY 1), (SELECT CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) total FROM documents)""",
+    "run_manifest": f"""{_W} SELECT segment_id, segment_id * {SEGMENT_BYTES} AS start, least((segment_id + 1) * {SEGMENT_BYTES}, total) - 1 AS "end", words, profile_bytes
+FROM (SELECT segment_id, count(*) words, CAST(sum({_SIZE}) AS BIGINT) profile_bytes FROM seg GROUP BY 1), (SELECT CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) total FROM documents)""",
+    **dict.fromkeys(("merge_two", "merge_full_outer", "merge_all", "stored_profile", "run_profile", "word_profile_by_sort"), f"{_W} SELECT word, repeated, occur FROM p"),
     "merge_plan_simple": _PAIRS,
     "merge_plan_dp": _CHEAPEST,
     "profile_bytes": f"{_W} SELECT CAST(coalesce(sum({_SIZE}), 0) AS BIGINT) bytes FROM p",
