@@ -103,10 +103,19 @@ def release() -> None:
             trim(0)
 
 
-def released(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """The step of a mapInArrow, with ``release`` after each partition."""
+def let_go() -> None:
+    """Forget what an earlier stage held in this worker."""
+    if _held:
+        _held.clear()
+        release()
+
+
+def released(step: Callable[[Iterator], Iterator], holds: bool = False) -> Callable[[Iterator], Iterator]:
+    """The step of a mapInArrow, with ``release`` after each partition; unless it ``holds`` something itself, nothing held goes through it."""
 
     def run(parts: Iterator) -> Iterator:
+        if not holds:
+            let_go()
         yield from step(parts)
         release()
 

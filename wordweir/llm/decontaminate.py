@@ -83,7 +83,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], size: int) -> DataFrame
             if rows:
                 yield to_batch(rows, out)
 
-    return docs.mapInArrow(released(run), schema)
+    return docs.mapInArrow(released(run, holds=True), schema)
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str]]]:
@@ -151,7 +151,7 @@ def drop_contaminated(
             for part in parts:
                 yield part.filter(pa.array([len(f.items) < least for f in automaton.scan(part.column(at))], pa.bool_()))
 
-        return docs.mapInArrow(released(run), docs.schema)
+        return docs.mapInArrow(released(run, holds=True), docs.schema)
     found = None
     for items in blocks:
         one = _counts(docs.select(*_text_key(F.col(text_col)), F.col(text_col).alias("text")), items, window)
@@ -175,7 +175,7 @@ def _counts(texts: DataFrame, items: list[tuple[str, str]], size: int) -> DataFr
             arrays = [part.column(c).take(pa.array(some, pa.int64())) for c in ("key_a", "key_b")]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([key] * len(some), pa.string()), n.take(pa.array(some, pa.int64()))], names=["key_a", "key_b", "block", "n"])
 
-    return texts.mapInArrow(released(run), "key_a bigint, key_b bigint, block string, n bigint")
+    return texts.mapInArrow(released(run, holds=True), "key_a bigint, key_b bigint, block string, n bigint")
 
 
 def _union(column: str, a: str, b: str, gap: int) -> Column:

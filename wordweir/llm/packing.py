@@ -124,7 +124,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
 
     kind = docs.schema[id_col].dataType.simpleString()
     pieces = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        released(run), f"id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, bucket int"
+        released(run, holds=True), f"id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, bucket int"
     )
     return pieces.select(
         F.col("id").alias(id_col), "start", "length", "ids", "doc_tokens", "bucket",
