@@ -222,3 +222,50 @@ def test_queries_are_their_sql(spark, sf, name):
     assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == Counter(found.fetchall())
     if name in ("find_top_n", "singular_list"):
         assert [tuple(r[c] for c in columns) for r in got.collect()] == con.execute(catalogue.ORACLE_SQL[name]).fetchall()
+
+
+def segments_of(data, size):
+    """(segment, word) -> (n, first) of a file's segments."""
+    found = {}
+    for m in re.finditer(rb"[^ \t\n\r]+", data):
+        key = (m.start() // size, m[0].decode())
+        n, first = found.get(key, (0, m.start()))
+        found[key] = (n + 1, first)
+    return found
+
+
+LONG = [(k, "word " * (k % 5) + f"w{k} " * (40 if k % 13 == 0 else 2)) for k in range(60)]
+
+
+@pytest.mark.parametrize(("size", "stretch", "most"), [(7, 1, 10**6), (7, 50, 3), (64, 100, 10**6), (64, 10**6, 3)])
+def test_segments_by_stretches(spark, monkeypatch, size, stretch, most):
+    monkeypatch.setattr(offsets, "STRETCH_BYTES", stretch)
+    monkeypatch.setattr(offsets, "STRETCHES", most)
+    data = virtual(LONG)
+    for start, end in ((0, None), (3 * size, 9 * size), (len(data) // 2, None), (0, 0), (len(data) + 1, None)):
+        got = profile.segment_profiles(docs_of(spark, LONG).repartition(5), size, start=start, end=end).collect()
+        want = {k: v for k, v in segments_of(data, size).items() if v[1] >= start and (end is None or v[1] < end)}
+        if start % size == 0:
+            assert len(got) == len(want) and {(r["segment_id"], r["word"]): (r["n"], r["first_off"]) for r in got} == want
+        assert all(r["first_off"] >= start for r in got)
+    monkeypatch.setattr(profile, "TASK_BYTES", 0)
+    late = profile.segment_profiles(docs_of(spark, LONG), size).collect()
+    assert {(r["segment_id"], r["word"]): (r["n"], r["first_off"]) for r in late} == segments_of(data, size)
+
+
+@pytest.mark.parametrize(("schema", "rows"), KEYS)
+def test_segments_of_repeated_null_and_string_keys(spark, monkeypatch, schema, rows):
+    monkeypatch.setattr(offsets, "STRETCH_BYTES", 8)
+    docs, key = spark.createDataFrame(rows, schema), ("doc_id", "turn")
+    ordered = offsets.with_base(docs, key, "text", key).orderBy("base").collect()
+    data = b"".join((r["text"] or "").encode() + b"\n" for r in ordered)
+    got = profile.segment_profiles(docs, 4, key).collect()
+    assert len(got) == len(segments_of(data, 4)) and {(r["segment_id"], r["word"]): (r["n"], r["first_off"]) for r in got} == segments_of(data, 4)
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_words_of_segments_are_not_shuffled(spark, sf, monkeypatch, broadcast):
+    monkeypatch.setattr(offsets, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(offsets, "STRETCH_BYTES", 1)
+    plan = catalogue.segment_profile(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(stretch") == plan.count("Exchange") == 1 and "Join" not in plan

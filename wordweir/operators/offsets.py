@@ -9,12 +9,13 @@ a bounded sample; the ranges' totals are summed (a few rows), and within each ra
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 RANGE_ROWS = 4_000_000
 #: Keys sampled for each range.
@@ -23,6 +24,8 @@ SAMPLED = 20
 BROADCAST_ROWS = 500_000
 #: What the hash of a text is called, by which rows of equal keys are told apart.
 HASH = "__hash"
+#: Bytes of a stretch, and so many stretches at most (beyond them stretches grow): tables that are read in order are dealt out by them.
+STRETCH_BYTES, STRETCHES = 8 << 20, 4096
 
 
 class Places(NamedTuple):
@@ -84,3 +87,48 @@ def with_base(docs: DataFrame, key: Sequence[str], text: str, extra: Sequence[st
     number = F.row_number().over(Window.partitionBy(*at.by).orderBy(F.lit(0))) - 1
     many = rows.where("copies > 1").withColumn("base", F.col("base") + number * F.col("size"))
     return one.unionByName(many.select(*more, "text", "base"))
+
+
+class Order(NamedTuple):
+    """A table cut into stretches of ``step`` bytes of its virtual file; for each, the place of the text that holds its first byte, and where that text begins."""
+
+    at: Places
+    text: str
+    step: int
+    cuts: list[Row]
+    bases: list[int]
+
+
+def order(docs: DataFrame, key: Sequence[str], text: str, unit: int) -> Order:
+    """Stretches are whole ``unit``s. Two numbers and a place for each stretch come to the driver."""
+    at = places(docs, key, text)
+    step = unit * -(-STRETCH_BYTES // unit)
+    last = F.expr(f"(base + size * copies - 1) div {step}")
+    begun = F.sequence(F.expr(f"(base + {step - 1}) div {step}"), last)
+    found = base_offsets(at, text).where(F.expr(f"(base + {step - 1}) div {step}") <= last)
+    found = found.select(F.explode(begun).alias("stretch"), F.struct(*(F.col(f"b_{c}").alias(c) for c in at.by)).alias("place"), "base").orderBy("stretch").collect()
+    thin = -(-len(found) // STRETCHES) or 1
+    return Order(at, text, step * thin, [r["place"] for r in found[::thin]], [r["base"] for r in found[::thin]])
+
+
+def in_order(table: Order, start: int = 0, end: int | None = None) -> DataFrame:
+    """(stretch, text) of the stretches that have bytes of [start, end): each in one task, its texts in order. It is the texts' only shuffle.
+
+    A stretch has all texts of which it has a byte: one that goes over a boundary is in the stretches on both sides.
+    """
+    at, kind = table.at, StructType([table.at.docs.schema[c] for c in table.at.by])
+    cuts = F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, kind, strict=True))) for r in table.cuts))
+    halves = F.array(*(F.lit(1 << i) for i in reversed(range(len(table.cuts).bit_length()))))
+    place = F.col("place")
+
+    def cuts_before(less: Callable[[Column], Column]) -> Column:
+        """How many cuts ``less`` holds for, by halving; beyond the last cut ``get`` is null."""
+        return F.aggregate(halves, F.lit(0), lambda n, half: F.when(less(F.get(cuts, n + half - 1)), n + half).otherwise(n))
+
+    stretches = F.sequence(cuts_before(lambda c: c < place) - 1, cuts_before(lambda c: c <= place) - 1)
+    low, high = start // table.step, len(table.cuts) if end is None else min(len(table.cuts), -(-end // table.step))
+    rows = at.docs.select(F.struct(*at.by).alias("place"), F.col(table.text).alias("text"))
+    if low >= high:
+        return rows.select(F.lit(0).alias("stretch"), "text").where("false")
+    rows = rows.select(F.explode(stretches).alias("stretch"), "place", "text").where(F.col("stretch").between(low, high - 1))
+    return rows.repartition(high - low, "stretch").sortWithinPartitions("stretch", "place").select("stretch", "text")

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import record_size
 from . import offsets
-from .scan import partial_counts, partial_places
+from .scan import partial_counts, partial_places, segment_counts
 
 SMALL = ("word", "repeated", "occur")
+#: A segment of up to so many bytes is counted by one task; the words of larger ones are shuffled.
+TASK_BYTES = 64 << 20
 
 
 def finish(partials: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -57,9 +59,17 @@ def segment_profiles(
 ) -> DataFrame:
     """One profile for each stretch of ``segment_bytes`` of the virtual file [start, end), with its segment_id.
 
-    The cheap way to the profile of a whole table is ``profile``: this one shuffles by segment and word.
+    The cheap way to the profile of a whole table is ``profile``: this one shuffles the texts once, or those of segments beyond
+    ``TASK_BYTES`` by segment and word.
     """
-    return finish(partial_counts(docs, key, text, segment_bytes=segment_bytes, start=start, end=end), ["segment_id"])
+    if segment_bytes > TASK_BYTES:
+        return finish(partial_counts(docs, key, text, segment_bytes=segment_bytes, start=start, end=end), ["segment_id"])
+    return ordered_segments(offsets.order(docs, key, text, segment_bytes), segment_bytes, start, end)
+
+
+def ordered_segments(table: offsets.Order, segment_bytes: int, start: int = 0, end: int | None = None) -> DataFrame:
+    """``segment_profiles`` of a table whose order is known; it may be asked for several stretches."""
+    return _flagged(segment_counts(table, segment_bytes, start, end), ["segment_id"])
 
 
 def virtual_size(docs: DataFrame, text: str = "text") -> int:

@@ -8,6 +8,7 @@ Python. For profiles the pass also combines equal words of a batch, so that fewe
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .offsets import Places, with_base
+from .offsets import Order, Places, in_order, with_base
 
 DELIMITERS = b" \t\n\r"
 #: Bytes of text that are vectorised at once.
@@ -122,6 +123,56 @@ def partial_counts(
     return rows.mapInArrow(run, f"word string{_kinds(docs, extra)}{segment}, n bigint, first_off bigint")
 
 
+def segment_counts(table: Order, segment_bytes: int, start: int = 0, end: int | None = None) -> DataFrame:
+    """(word, segment_id, n, first_off), one row for each word of each segment: what begins in [start, end) of the virtual file.
+
+    The stretches of ``table`` are whole segments, so each segment's words meet in one task and are not shuffled. A task holds a
+    slice of text and the counts of the segment it has not finished.
+    """
+    by, names = ["segment_id", "word"], ["segment_id", "word", "n", "first_off"]
+    step, bases = table.step, table.bases
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, stretch, base = None, -1, 0
+        for part in parts:
+            of = part.column("stretch").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for a, b in pairwise(edges):
+                if a == b:
+                    continue
+                if of[a] != stretch:
+                    if held is not None:
+                        yield from held.to_batches()
+                    held, stretch = None, int(of[a])
+                    base = bases[stretch]
+                low, high = max(start, stretch * step), (stretch + 1) * step if end is None else min(end, (stretch + 1) * step)
+                texts = part.column("text").slice(a, b - a)
+                sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+                ends = base + np.cumsum(sizes)
+                base = int(ends[-1])
+                for _, word, off in scan_batch(texts, ends - sizes, pa.string()):
+                    # offsets only grow
+                    i, j = np.searchsorted(off, (low, high))
+                    off = off[i:j]
+                    found = pa.table({"segment_id": off // segment_bytes, "word": word.slice(i, j - i), "off": off})
+                    found = found.group_by(by, use_threads=False).aggregate([("off", "count"), ("off", "min")]).rename_columns(names)
+                    if not found.num_rows:
+                        continue
+                    if held is not None:
+                        more = pc.equal(found.column("segment_id"), held.column("segment_id")[0])
+                        both = pa.concat_tables([held, found.filter(more)]).group_by(by, use_threads=False).aggregate([("n", "sum"), ("first_off", "min")])
+                        found = pa.concat_tables([both.rename_columns(names), found.filter(pc.invert(more))])
+                    last = pc.equal(found.column("segment_id"), int(off[-1]) // segment_bytes)
+                    held = found.filter(last).combine_chunks()
+                    yield from found.filter(pc.invert(last)).combine_chunks().to_batches()
+            del part
+            pa.default_memory_pool().release_unused()
+        if held is not None:
+            yield from held.to_batches()
+
+    return in_order(table, start, end).mapInArrow(run, "segment_id bigint, word string, n bigint, first_off bigint")
+
+
 def partial_places(at: Places, text: str = "text", extra: Sequence[str] = ()) -> DataFrame:
     """(word, n, first) and the ``extra`` columns, combined within each batch; first: (columns of ``at.by``, local offset).
 
