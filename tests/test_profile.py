@@ -269,3 +269,11 @@ def test_words_of_segments_are_not_shuffled(spark, sf, monkeypatch, broadcast):
     monkeypatch.setattr(offsets, "STRETCH_BYTES", 1)
     plan = catalogue.segment_profile(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(stretch") == plan.count("Exchange") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["merge_two", "merge_full_outer"])
+def test_halves_shuffle_their_merged_words_only(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(offsets, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(offsets, "STRETCH_BYTES", 1)
+    plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(stretch") == 2 and "hashpartitioning(segment_id" not in plan and "b_doc_id" not in plan

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.scalars import prefix_compare, prefix_key, prefix_tail, prefix_word, size_bytes
 from .operators import profile as P
+from .operators.offsets import order
 from .operators.scan import partial_counts, words, words_by_window
 from .plans.merge_plan import plan_of
 from .sources.store import Run, manifest, read_profile, write_profile
@@ -99,7 +100,8 @@ def _halves(spark: SparkSession, folder: str) -> list[DataFrame]:
     """The profiles of the first half of the segments and of the rest: together the whole table, each text scanned for one of them."""
     docs = read(spark, folder, "documents")
     middle = P.virtual_size(docs) // SEGMENT_BYTES // 2 * SEGMENT_BYTES
-    halves = (P.segment_profiles(docs, SEGMENT_BYTES, end=middle), P.segment_profiles(docs, SEGMENT_BYTES, start=middle))
+    table = order(docs, ("doc_id",), "text", SEGMENT_BYTES)
+    halves = (P.ordered_segments(table, SEGMENT_BYTES, end=middle), P.ordered_segments(table, SEGMENT_BYTES, start=middle))
     return [P.merge(h.select(*P.SMALL)) for h in halves]
 
 
