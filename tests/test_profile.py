@@ -277,3 +277,9 @@ def test_halves_shuffle_their_merged_words_only(spark, sf, monkeypatch, name):
     monkeypatch.setattr(offsets, "STRETCH_BYTES", 1)
     plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(stretch") == 2 and "hashpartitioning(segment_id" not in plan and "b_doc_id" not in plan
+
+
+def test_a_run_stores_each_segment_from_one_task(spark, sf):
+    run, n, _ = catalogue._run(spark, sf)
+    files = run.segments().select("segment_id", F.input_file_name().alias("file")).distinct()
+    assert n > 4 and files.count() == files.select("segment_id").distinct().count()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.scalars import prefix_compare, prefix_key, prefix_tail, prefix_word, size_bytes
 from .operators import profile as P
 from .operators.offsets import order
-from .operators.scan import partial_counts, words, words_by_window
+from .operators.scan import words, words_by_window
 from .plans.merge_plan import plan_of
 from .sources.store import Run, manifest, read_profile, write_profile
 from .sources.tables import TEXTS, read
@@ -129,7 +129,8 @@ def _run(spark: SparkSession, folder: str) -> tuple[Run, int, int]:
     docs = read(spark, folder, "documents")
     size = P.virtual_size(docs)
     run = Run(spark, scratch(spark, "run"), folder, wave=max(1, -(-size // SEGMENT_BYTES // 4)))
-    n = run.profile_segments(lambda a, b: partial_counts(docs, segment_bytes=SEGMENT_BYTES, start=a, end=b), size, SEGMENT_BYTES)
+    table = order(docs, ("doc_id",), "text", SEGMENT_BYTES)
+    n = run.store_segments(lambda a, b: P.ordered_segments(table, SEGMENT_BYTES, a, b), size, SEGMENT_BYTES)
     return run, n, size
 
 

@@ -73,10 +73,14 @@ class Run:
 
     def profile_segments(self, counts: Callable[[int, int], DataFrame], size: int, segment_bytes: int) -> int:
         """Writes the waves that are missing; the number of segments."""
+        return self.store_segments(lambda a, b: P.finish(counts(a, b), ["segment_id"]), size, segment_bytes)
+
+    def store_segments(self, profiles: Callable[[int, int], DataFrame], size: int, segment_bytes: int) -> int:
+        """The same from finished profiles of segments: ``profiles(start, end)``."""
         n = max(1, -(-size // segment_bytes))
         for a, b, path in self.waves(n):
             if not committed(self.spark, path):
-                write_profile(P.finish(counts(a * segment_bytes, min(size, b * segment_bytes)), ["segment_id"]), path)
+                write_profile(profiles(a * segment_bytes, min(size, b * segment_bytes)), path)
         return n
 
     def segments(self) -> DataFrame:
