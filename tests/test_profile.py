@@ -2,6 +2,7 @@
 
 import functools
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -283,3 +284,22 @@ def test_a_run_stores_each_segment_from_one_task(spark, sf):
     run, n, _ = catalogue._run(spark, sf)
     files = run.segments().select("segment_id", F.input_file_name().alias("file")).distinct()
     assert n > 4 and files.count() == files.select("segment_id").distinct().count()
+
+
+def test_a_scan_holds_little_beside_its_batch():
+    texts = pa.array(["some words of a text " * 50] * 16_000, pa.large_string())
+    tracemalloc.start()
+    for _ in scan.scan_batch(texts, np.zeros(len(texts), np.int64), pa.string()):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+
+
+@pytest.mark.parametrize("together", [1, 3, 100])
+def test_slices_are_counted_together(monkeypatch, together):
+    monkeypatch.setattr(scan, "TOGETHER", together)
+    slices = [pa.table({"word": ["a", "b", "a"], "at": [9 + k, 5 + k, 7 + k]}) for k in range(6)]
+    got = [r for t in scan.combined(iter(slices), ["word"]) for r in t.to_pylist()]
+    assert len(got) == 2 * -(-6 // together)
+    assert sum(r["n"] for r in got if r["word"] == "a") == 12 and min(r["at"] for r in got if r["word"] == "a") == 7

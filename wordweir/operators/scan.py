@@ -20,7 +20,9 @@ from .offsets import Order, Places, in_order, with_base
 
 DELIMITERS = b" \t\n\r"
 #: Bytes of text that are vectorised at once.
-SLICE = 4 << 20
+SLICE = 1 << 20
+#: Slices whose counts are combined before they go to the JVM.
+TOGETHER = 4
 
 _GAP = np.zeros(256, bool)
 _GAP[list(DELIMITERS)] = True
@@ -72,6 +74,29 @@ def scan_batch(texts: pa.Array, bases: np.ndarray, kind: pa.DataType) -> Iterato
         yield owner + row, word_array(data, starts, ends, kind), bases[row:end][owner] + starts - offsets[owner]
 
 
+def let_go() -> None:
+    """Memory that a batch took and a worker, which lives on, would keep."""
+    pa.default_memory_pool().release_unused()
+
+
+def combined(slices: Iterator[pa.Table], by: Sequence[str]) -> Iterator[pa.Table]:
+    """Tables of the columns ``by`` and at: how often (n) and where first (at), a row for each value of ``by`` in ``TOGETHER`` slices."""
+    names, held = [*by, "n", "at"], []
+
+    def together() -> pa.Table:
+        if len(held) == 1:
+            return held[0]
+        return pa.concat_tables(held).group_by(by, use_threads=False).aggregate([("n", "sum"), ("at", "min")]).rename_columns(names)
+
+    for words in slices:
+        held.append(words.group_by(by, use_threads=False).aggregate([("at", "count"), ("at", "min")]).rename_columns(names))
+        if len(held) == TOGETHER:
+            yield together()
+            held.clear()
+    if held:
+        yield together()
+
+
 def _kinds(docs: DataFrame, extra: Sequence[str]) -> str:
     return "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in extra)
 
@@ -100,19 +125,23 @@ def partial_counts(
     """
     by = ["word", *extra, *(["segment_id"] if segment_bytes else [])]
 
+    def tables(part: pa.RecordBatch) -> Iterator[pa.Table]:
+        bases = part.column("base").to_numpy(zero_copy_only=False)
+        for owner, word, off in scan_batch(part.column("text"), bases, pa.string()):
+            if start or end is not None:
+                inside = (off >= start) & (off < (off.max(initial=0) + 1 if end is None else end))
+                owner, word, off = owner[inside], word.filter(pa.array(inside)), off[inside]
+            columns = {"word": word, "at": pa.array(off), **{c: part.column(c).take(pa.array(owner)) for c in extra}}
+            if segment_bytes:
+                columns["segment_id"] = pa.array(off // segment_bytes)
+            yield pa.table(columns)
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            bases = part.column("base").to_numpy(zero_copy_only=False)
-            for owner, word, off in scan_batch(part.column("text"), bases, pa.string()):
-                if start or end is not None:
-                    inside = (off >= start) & (off < (off.max(initial=0) + 1 if end is None else end))
-                    owner, word, off = owner[inside], word.filter(pa.array(inside)), off[inside]
-                columns = {"word": word, "off": pa.array(off), **{c: part.column(c).take(pa.array(owner)) for c in extra}}
-                if segment_bytes:
-                    columns["segment_id"] = pa.array(off // segment_bytes)
-                found = pa.table(columns).group_by(by).aggregate([("off", "count"), ("off", "min")])
-                found = found.select([*by, "off_count", "off_min"]).rename_columns([*by, "n", "first_off"])
-                yield from found.combine_chunks().to_batches()
+            for found in combined(tables(part), by):
+                yield from found.rename_columns([*by, "n", "first_off"]).combine_chunks().to_batches()
+            del part
+            let_go()
 
     rows = with_base(docs, key, text, extra).select("text", "base", *extra)
     if start:
@@ -165,8 +194,8 @@ def segment_counts(table: Order, segment_bytes: int, start: int = 0, end: int |
                     last = pc.equal(found.column("segment_id"), int(off[-1]) // segment_bytes)
                     held = found.filter(last).combine_chunks()
                     yield from found.filter(pc.invert(last)).combine_chunks().to_batches()
-            del part
-            pa.default_memory_pool().release_unused()
+            del part, texts
+            let_go()
         if held is not None:
             yield from held.to_batches()
 
@@ -189,15 +218,20 @@ def partial_places(at: Places, text: str = "text", extra: Sequence[str] = ()) ->
             order = pc.sort_indices(keys, [(c, "ascending") for c in place], null_placement="at_start").to_numpy()
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            for owner, word, off in scan_batch(part.column("text"), np.zeros(part.num_rows, np.int64), pa.string()):
-                columns = {"word": word, "place": pa.array((rank[owner] << 32) + off), **{c: part.column(c).take(pa.array(owner)) for c in extra}}
-                found = pa.table(columns).group_by(by).aggregate([("place", "count"), ("place", "min")]).combine_chunks()
-                at = found.column("place_min").to_numpy()
+
+            def tables(part: pa.RecordBatch = part, rank: np.ndarray = rank) -> Iterator[pa.Table]:
+                for owner, word, off in scan_batch(part.column("text"), np.zeros(part.num_rows, np.int64), pa.string()):
+                    yield pa.table({"word": word, "at": pa.array((rank[owner] << 32) + off), **{c: part.column(c).take(pa.array(owner)) for c in extra}})
+
+            for found in combined(tables(), by):
+                at = found.column("at").to_numpy()
                 taken = pa.array(order[at >> 32].astype(np.int64))
                 fields = [part.column(c).take(taken) for c in place] + [pa.array(at & 0xFFFFFFFF)]
                 first = pa.StructArray.from_arrays(fields, names=[*place, "local"])
-                arrays = [*(found.column(c).combine_chunks() for c in by), found.column("place_count").combine_chunks(), first]
+                arrays = [*(found.column(c).combine_chunks() for c in by), found.column("n").combine_chunks(), first]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*by, "n", "first"])
+            del part, keys, tables
+            let_go()
 
     return rows.mapInArrow(run, f"word string{_kinds(at.docs, extra)}, n bigint, first struct<{kinds},local:bigint>")
 
