@@ -272,6 +272,20 @@ def test_words_of_segments_are_not_shuffled(spark, sf, monkeypatch, broadcast):
     assert plan.count("Exchange hashpartitioning(stretch") == plan.count("Exchange") == 1 and "Join" not in plan
 
 
+def exchanges(spark, sf, monkeypatch, name):
+    """By what the plan of a query, or of a plan's statistics, deals out its rows; offsets are too many to be broadcast."""
+    monkeypatch.setattr(offsets, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(offsets, "STRETCH_BYTES", 1, raising=False)
+    monkeypatch.setattr(catalogue, "plan_of", lambda spark, statistics, *_: statistics)
+    plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == plan.count("Exchange hashpartitioning(")
+    return sorted(re.sub(r"#\d+L?", "", x) for x in re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan))
+
+
+def test_merged_segments_shuffle_texts_once_and_words_once(spark, sf, monkeypatch):
+    assert exchanges(spark, sf, monkeypatch, "merge_all") == ["stretch", "word"]
+
+
 @pytest.mark.parametrize("name", ["merge_two", "merge_full_outer"])
 def test_halves_shuffle_their_merged_words_only(spark, sf, monkeypatch, name):
     monkeypatch.setattr(offsets, "BROADCAST_ROWS", 0)
