@@ -286,6 +286,11 @@ def test_merged_segments_shuffle_texts_once_and_words_once(spark, sf, monkeypatc
     assert exchanges(spark, sf, monkeypatch, "merge_all") == ["stretch", "word"]
 
 
+@pytest.mark.parametrize("name", ["segment_stats"])
+def test_statistics_of_segments_shuffle_texts_once_and_no_words(spark, sf, monkeypatch, name):
+    assert exchanges(spark, sf, monkeypatch, name) == ["segment_id", "stretch"]
+
+
 @pytest.mark.parametrize("name", ["merge_two", "merge_full_outer"])
 def test_halves_shuffle_their_merged_words_only(spark, sf, monkeypatch, name):
     monkeypatch.setattr(offsets, "BROADCAST_ROWS", 0)
