@@ -286,7 +286,7 @@ def test_merged_segments_shuffle_texts_once_and_words_once(spark, sf, monkeypatc
     assert exchanges(spark, sf, monkeypatch, "merge_all") == ["stretch", "word"]
 
 
-@pytest.mark.parametrize("name", ["segment_stats", "merge_plan_dp"])
+@pytest.mark.parametrize("name", ["segment_stats", "merge_plan_dp", "segment_manifest"])
 def test_statistics_of_segments_shuffle_texts_once_and_no_words(spark, sf, monkeypatch, name):
     assert exchanges(spark, sf, monkeypatch, name) == ["segment_id", "stretch"]
 
