@@ -4,6 +4,7 @@ import errno
 import os
 import random
 
+import numpy as np
 import pytest
 from wordweir import cli
 from wordweir.functions import scalars
@@ -194,6 +195,37 @@ def test_cheapest_plans_beyond_the_interval_programme(top, monkeypatch):
         assert span[root] == (0, n) and paid == cost
 
 
+def leftmost(sizes):
+    """All merges (first, cut, end) of the cheapest plan with the leftmost of equal cuts: every cut of every stretch is tried."""
+    n, sums = len(sizes), np.append(0, np.cumsum(sizes))
+    cost, left = {1: np.zeros(n, int)}, {}
+    for width in range(2, n + 1):
+        starts = n - width + 1
+        least, left[width] = cost[1][:starts] + cost[width - 1][1 : 1 + starts], np.ones(starts, int)
+        for m in range(2, width):
+            c = cost[m][:starts] + cost[width - m][m : m + starts]
+            left[width], least = np.where(c < least, m, left[width]), np.minimum(c, least)
+        cost[width] = least + 2 * (sums[width:] - sums[:-width])
+    found, queue = set(), [(0, n)]
+    while queue:
+        a, b = queue.pop()
+        if b - a > 1:
+            m = a + int(left[b - a][a])
+            found.add((a, m, b))
+            queue += [(a, m), (m, b)]
+    return found
+
+
+@pytest.mark.parametrize(("n", "top"), [(1, 3), (2, 3), (3, 0), (40, 0), (90, 2), (90, 50), (600, 3), (600, 9000)])
+def test_cheapest_plans_cut_leftmost(n, top):
+    sizes = [random.Random(n + k).randint(min(1, top), top) for k in range(n)]
+    span, got = {k: (k, k + 1) for k in range(n)}, set()
+    for left, right, new in merge_plan.cheapest(list(enumerate(sizes)))[0]:
+        span[new] = (span[left][0], span[right][1])
+        got.add((span[left][0], span[right][0], span[right][1]))
+    assert got == leftmost(sizes)
+
+
 @pytest.mark.parametrize("kind", ["cheapest", "pairwise"])
 def test_plans_cover_all_segments(spark, kind):
     n = 1300
