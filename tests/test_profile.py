@@ -1,6 +1,7 @@
 """Scan, profiles, segments and merges against an independent byte tokenizer and the SQL."""
 
 import functools
+import itertools
 import re
 import tracemalloc
 from collections import Counter
@@ -264,6 +265,49 @@ def test_segments_of_repeated_null_and_string_keys(spark, monkeypatch, schema, r
     assert len(got) == len(segments_of(data, 4)) and {(r["segment_id"], r["word"]): (r["n"], r["first_off"]) for r in got} == segments_of(data, 4)
 
 
+def test_pieces_of_a_long_text():
+    for text, copies in itertools.product((b"", b" ", b"abc", b"a bc\td\ne  fgh\r", b"abcdefghijkl", "\u00e9\u4e00 ".encode() * 3, b"abcdefghi j", b"  \n  "), (1, 2, 5)):
+        data = b"\n".join([text] * copies)
+        for base, step in itertools.product((0, 1, 5, 8, 9), (1, 2, 3, 8, 50)):
+            first, last = base // step - (base % step == 0), (base + len(data)) // step
+            got, words = list(offsets.pieces(text, base, copies, first, last, step)), {}
+            for stretch, piece in got:
+                piece.decode()
+                words.update({(stretch, max(base, stretch * step) + m.start()): m[0] for m in re.finditer(rb"[^ \t\n\r]+", piece)})
+            assert words == {((base + m.start()) // step, base + m.start()): m[0] for m in re.finditer(rb"[^ \t\n\r]+", data)}
+            assert got[-1][0] == last and max(base, last * step) + len(got[-1][1]) == base + len(data)
+            # every byte of text once, and blanks of as many at most
+            assert sum(len(piece) for _, piece in got) <= 2 * len(data)
+
+
+HUGE = [
+    [(1, "a b"), (2, "word \u00e9\u00e9\u00e9 " * 40), (3, "c a"), (4, "w" * 100 + " x"), (5, "b c"), (6, "y z " * 30 + "v" * 50)],
+    [(None, "a \u00e9 bcd"), (1, "x y")] + [(None, "a \u00e9 bcd")] * 40 + [(7, None)] * 30 + [(2, "last " * 20), (3, "a")],
+]
+
+
+@pytest.mark.parametrize("rows", HUGE)
+@pytest.mark.parametrize(("size", "stretch", "most"), [(4, 1, 10**6), (8, 16, 7)])
+def test_segments_of_texts_over_many_stretches(spark, monkeypatch, rows, size, stretch, most):
+    monkeypatch.setattr(offsets, "STRETCH_BYTES", stretch)
+    monkeypatch.setattr(offsets, "STRETCHES", most)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    data = b"".join((r["text"] or "").encode() + b"\n" for r in offsets.with_base(docs, ["doc_id"], "text").orderBy("base").collect())
+    assert len(data) == sum(len((t or "").encode()) + 1 for _, t in rows)
+    for start, end in ((0, None), (4 * size, 12 * size), (len(data) // size // 2 * size, None)):
+        got = profile.segment_profiles(docs, size, start=start, end=end).collect()
+        want = {k: v for k, v in segments_of(data, size).items() if v[1] >= start and (end is None or v[1] < end)}
+        assert len(got) == len(want) and {(r["segment_id"], r["word"]): (r["n"], r["first_off"]) for r in got} == want
+
+
+@pytest.mark.parametrize("rows", HUGE)
+def test_what_is_shuffled_of_a_long_text_grows_as_the_text(spark, monkeypatch, rows):
+    monkeypatch.setattr(offsets, "STRETCH_BYTES", 16)
+    table = offsets.order(spark.createDataFrame(rows, "doc_id bigint, text string"), ["doc_id"], "text", 8)
+    assert table.long
+    assert offsets.in_order(table).agg(F.sum(F.octet_length("text"))).first()[0] <= 2 * sum(len((t or "").encode()) + 1 for _, t in rows)
+
+
 @pytest.mark.parametrize("broadcast", [10**6, 0])
 def test_words_of_segments_are_not_shuffled(spark, sf, monkeypatch, broadcast):
     monkeypatch.setattr(offsets, "BROADCAST_ROWS", broadcast)

@@ -9,10 +9,13 @@ a bounded sample; the ranges' totals are summed (a few rows), and within each ra
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import pairwise
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -26,6 +29,8 @@ BROADCAST_ROWS = 500_000
 HASH = "__hash"
 #: Bytes of a stretch, and so many stretches at most (beyond them stretches grow): tables that are read in order are dealt out by them.
 STRETCH_BYTES, STRETCHES = 8 << 20, 4096
+#: The bytes that part words.
+DELIMITERS = b" \t\n\r"
 
 
 class Places(NamedTuple):
@@ -90,31 +95,68 @@ def with_base(docs: DataFrame, key: Sequence[str], text: str, extra: Sequence[st
 
 
 class Order(NamedTuple):
-    """A table cut into stretches of ``step`` bytes of its virtual file; for each, the place of the text that holds its first byte, and where that text begins."""
+    """A table cut into stretches of ``step`` bytes of its virtual file; for each, the place of the text that holds its first byte, and where what the
+    stretch has of that text begins. Of each text (or run of equal rows) that holds several first bytes, ``long`` has by the first of these
+    stretches where it begins, and how often the text is there.
+    """
 
     at: Places
     text: str
     step: int
     cuts: list[Row]
     bases: list[int]
+    long: dict[int, tuple[int, int]]
 
 
 def order(docs: DataFrame, key: Sequence[str], text: str, unit: int) -> Order:
-    """Stretches are whole ``unit``s. Two numbers and a place for each stretch come to the driver."""
+    """Stretches are whole ``unit``s. Three numbers and a place for each stretch come to the driver."""
     at = places(docs, key, text)
     step = unit * -(-STRETCH_BYTES // unit)
     last = F.expr(f"(base + size * copies - 1) div {step}")
     begun = F.sequence(F.expr(f"(base + {step - 1}) div {step}"), last)
     found = base_offsets(at, text).where(F.expr(f"(base + {step - 1}) div {step}") <= last)
-    found = found.select(F.explode(begun).alias("stretch"), F.struct(*(F.col(f"b_{c}").alias(c) for c in at.by)).alias("place"), "base").orderBy("stretch").collect()
+    found = found.select(F.explode(begun).alias("stretch"), F.struct(*(F.col(f"b_{c}").alias(c) for c in at.by)).alias("place"), "base", "copies")
+    found = found.orderBy("stretch").collect()
     thin = -(-len(found) // STRETCHES) or 1
-    return Order(at, text, step * thin, [r["place"] for r in found[::thin]], [r["base"] for r in found[::thin]])
+    found, step = found[::thin], step * thin
+    bases, long = [r["base"] for r in found], {}
+    for k, (one, other) in enumerate(pairwise(found)):
+        if one["base"] == other["base"]:
+            if not k or found[k - 1]["base"] != one["base"]:
+                long[k] = one["base"], one["copies"]
+                bases[k] = k * step
+            bases[k + 1] = (k + 1) * step
+    return Order(at, text, step, [r["place"] for r in found], bases, long)
+
+
+def pieces(text: bytes, base: int, copies: int, first: int, last: int, step: int) -> Iterator[tuple[int, bytes]]:
+    """What the stretches from ``first`` to ``last`` have of a text that begins at ``base`` and is there ``copies`` times, a newline between: the words that begin in them.
+
+    A piece begins with the stretch or the text; the rest of a word that began before is blank. That of the last stretch goes on to the end.
+    """
+    line, size, delimiter = text + b"\n", len(text) + 1, re.compile(b"[" + DELIMITERS + b"]")
+    total = size * copies - 1
+
+    def whole(at: int) -> int:
+        """The end of the word that goes over the boundary at ``at``, or ``at``."""
+        if not 0 < at < total or line[(at - 1) % size] in DELIMITERS:
+            return at
+        return at - at % size + delimiter.search(line, at % size).start()  # a line ends with a delimiter
+
+    for stretch in range(max(0, first), last + 1):
+        begin, end = max(0, stretch * step - base), min(total, (stretch + 1) * step - base)
+        start = whole(begin)
+        if start < end or stretch == last:
+            end, skip = max(start, whole(end)), start - start % size
+            lines = line * -(-(end - skip) // size)
+            yield stretch, b" " * (start - begin) + lines[start - skip : end - skip]
 
 
 def in_order(table: Order, start: int = 0, end: int | None = None) -> DataFrame:
     """(stretch, text) of the stretches that have bytes of [start, end): each in one task, its texts in order. It is the texts' only shuffle.
 
-    A stretch has all texts of which it has a byte: one that goes over a boundary is in the stretches on both sides.
+    A stretch has all texts of which it has a byte: one that goes over a boundary is in the stretches on both sides. Those that go over
+    several are dealt out in pieces, so that what is shuffled grows as the table, whatever the texts' sizes.
     """
     at, kind = table.at, StructType([table.at.docs.schema[c] for c in table.at.by])
     cuts = F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, kind, strict=True))) for r in table.cuts))
@@ -125,10 +167,32 @@ def in_order(table: Order, start: int = 0, end: int | None = None) -> DataFrame:
         """How many cuts ``less`` holds for, by halving; beyond the last cut ``get`` is null."""
         return F.aggregate(halves, F.lit(0), lambda n, half: F.when(less(F.get(cuts, n + half - 1)), n + half).otherwise(n))
 
-    stretches = F.sequence(cuts_before(lambda c: c < place) - 1, cuts_before(lambda c: c <= place) - 1)
     low, high = start // table.step, len(table.cuts) if end is None else min(len(table.cuts), -(-end // table.step))
     rows = at.docs.select(F.struct(*at.by).alias("place"), F.col(table.text).alias("text"))
     if low >= high:
         return rows.select(F.lit(0).alias("stretch"), "text").where("false")
-    rows = rows.select(F.explode(stretches).alias("stretch"), "place", "text").where(F.col("stretch").between(low, high - 1))
-    return rows.repartition(high - low, "stretch").sortWithinPartitions("stretch", "place").select("stretch", "text")
+    rows = rows.select("place", "text", (cuts_before(lambda c: c < place) - 1).alias("first"), (cuts_before(lambda c: c <= place) - 1).alias("last"))
+    short = rows.where("last - first < 2") if table.long else rows
+    dealt = short.select(F.explode(F.sequence("first", "last")).alias("stretch"), "place", "text")
+    if table.long:
+        cut = _cut(table, rows.where("last - first > 1"))
+        dealt = dealt.unionByName(cut.select("stretch", F.get(cuts, F.col("cut")).alias("place"), "text"))
+    dealt = dealt.where(F.col("stretch").between(low, high - 1))
+    return dealt.repartition(high - low, "stretch").sortWithinPartitions("stretch", "place").select("stretch", "text")
+
+
+def _cut(table: Order, rows: DataFrame) -> DataFrame:
+    """(stretch, cut, text): the pieces of the long texts (place, text, first, last), equal rows as one; cut: the first stretch whose first byte the text has."""
+    long, step = table.long, table.step
+    if any(copies > 1 for _, copies in long.values()):
+        rows = rows.groupBy("place", "first", "last").agg(F.first("text").alias("text"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for first, last, text in zip(*(part.column(c) for c in ("first", "last", "text")), strict=True):
+                first, data = first.as_py(), text.as_buffer().to_pybytes() if text.is_valid else b""
+                for stretch, piece in pieces(data, *long[first + 1], first, last.as_py(), step):
+                    place = [pa.array([k], pa.int32()) for k in (stretch, first + 1)]
+                    yield pa.RecordBatch.from_arrays([*place, pa.array([piece], pa.binary()).cast(text.type)], names=["stretch", "cut", "text"])
+
+    return rows.select("first", "last", "text").mapInArrow(run, f"stretch int, cut int, text {rows.schema['text'].dataType.simpleString()}")

@@ -16,9 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .offsets import Order, Places, in_order, with_base
+from .offsets import DELIMITERS, Order, Places, in_order, with_base
 
-DELIMITERS = b" \t\n\r"
 #: Bytes of text that are vectorised at once.
 SLICE = 1 << 20
 #: Slices whose counts are combined before they go to the JVM.
